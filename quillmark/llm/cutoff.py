@@ -125,7 +125,7 @@ def cutoffs(values: DataFrame, targets: DataFrame, keep: Callable[[DataFrame, st
         shown = runs.mapInArrow(_show, "source long, active long, pivots array<double>")
         # At most SHOWN pivots of a source go on, evenly spaced among those its runs show.
         pivots = shown.select("source", F.explode("pivots").alias("p")).distinct()
-        ends = pivots.groupBy("source").agg(F.expr(f"percentile_approx(p, transform(sequence(1, {SHOWN}), i -> i / {SHOWN}D), 1000)").alias("p"), F.max("p").alias("top"))
+        ends = pivots.groupBy("source").agg(F.percentile_approx("p", [i / SHOWN for i in range(1, SHOWN + 1)], 1000).alias("p"), F.max("p").alias("top"))
         pivots = keep(ends.select("source", F.array_sort(F.array_distinct(F.concat("p", F.array("top")))).alias("pivots")), "pivots")
         ranked = runs.join(pivots, "source").select("source", "values", "pivots").mapInArrow(_rank, "source long, counts array<long>")
         counts = ranked.select("source", F.posexplode("counts").alias("i", "c")).groupBy("source", "i").agg(F.sum("c").alias("c"))

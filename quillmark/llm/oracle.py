@@ -56,7 +56,7 @@ items AS (
   SELECT query_id, ord, list(pct) AS p FROM pct JOIN full_queries USING (query_id) GROUP BY ALL
 ),
 vectors AS (
-  SELECT query_id, ord, list_sort(list_concat(list_transform(range(0, 4 - len(p)), x -> CAST(0 AS DOUBLE)), p)) AS weakest FROM items
+  SELECT query_id, ord, list_sort(list_concat(list_transform(range(0, 4 - len(p)), lambda x: CAST(0 AS DOUBLE)), p)) AS weakest FROM items
 )
 """
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import cutoff, leximin, mix, pack, quantile, scores, split, tokens, topn
+from quillmark.llm import cutoff, leximin, mix, pack, quantile, scores, spans, split, tokens, topn
 from quillmark.session import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,4 +85,22 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.SharedSpans(_docs(spark, sf_dir), durable).pairs()
+
+
+def p10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return spans.coverage(spans.SharedSpans(docs, durable).stretches(), docs)
+
+
+def p10_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return spans.without_repeats(docs, spans.SharedSpans(docs, durable).stretches())
+
+
 QUERIES: dict[str, Query] = {k: v for k, v in sorted(globals().items()) if k[0] == "p" and k[1:2].isdigit()}
