@@ -114,7 +114,7 @@ def cutoffs(values: DataFrame, targets: DataFrame, keep: Callable[[DataFrame, st
     done = None
     while True:
         ready = state.where(F.col("active") <= small)
-        last = runs.join(ready, "source").groupBy("source").applyInArrow(_finish, "source long, cutoff double, kept long, n long")
+        last = runs.join(ready.where("active > 0"), "source").groupBy("source").applyInArrow(_finish, "source long, cutoff double, kept long, n long")
         # A source without an active value is at its target already.
         last = last.unionByName(ready.where(F.col("active") == 0).select("source", F.col("best").alias("cutoff"), F.col("base").alias("kept"), "n"))
         done = last if done is None else done.unionByName(last)

@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import cutoff, leximin, mix, pack, quantile, scores, spans, split, tokens, topn
+from quillmark.llm import body, cutoff, leximin, mix, pack, quantile, scores, spans, split, tokens, topn
 from quillmark.session import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return body.body_lines(table(spark, sf_dir, "passages"), durable).select("id", F.explode("outside").alias("line_no"))
+
+
+def p2_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return body.body_lines(table(spark, sf_dir, "passages"), durable).select("id", "body")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = quantile.wrong_figures(table(spark, sf_dir, "calls"), table(spark, sf_dir, "summaries"), keep=lambda df: durable(df, "p3"))
     return wrong.select("machine", "ranker", "span", F.date_format("since", "yyyy-MM-dd").alias("since"), "stat").distinct()
