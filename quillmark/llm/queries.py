@@ -7,12 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import body, cutoff, leximin, mix, pack, quantile, scores, spans, split, tokens, topn
+from quillmark.llm import body, cutoff, leximin, mih, mix, pack, quantile, scores, spans, split, tokens, topn
 from quillmark.session import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    chunks = mih.usable(table(spark, sf_dir, "chunks"), "id", "embedding", 384, F.lit("chunks"))
+    vectors = mih.usable(table(spark, sf_dir, "vectors"), "ord", "vec", 64, F.col("set_name"))
+    return mih.nearest(chunks, 384, k, durable).unionByName(mih.nearest(vectors, 64, k, durable))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _nearest(spark, sf_dir, 5).where("cos >= 0.85")
+    return near.select(F.col("coll").alias("collection"), F.least("key", "other").alias("id_a"), F.greatest("key", "other").alias("id_b")).distinct()
+
+
+def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar vectors of every vector whose key is divisible by 20, among all vectors."""
+    near = _nearest(spark, sf_dir, 10).where(F.col("key") % 20 == 0)
+    return near.select(F.col("coll").alias("collection"), "key", "place", "other", F.round("cos", 6).alias("similarity"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.body_lines(table(spark, sf_dir, "passages"), durable).select("id", F.explode("outside").alias("line_no"))
 
