@@ -23,12 +23,12 @@ def kept_gained_lost(rows: DataFrame, system: str, base: str, key: str, hit: str
 
 
 def overlap(rows: DataFrame, system: str, a: str, b: str, key: str, found: Column) -> DataFrame:
-    """One row (both, only_a, only_b, neither) over the questions both systems have."""
+    """One row (in_both, only_a, only_b, neither) over the questions both systems have."""
     one = rows.where(F.col(system) == a).select(key, found.alias("_a"))
     two = rows.where(F.col(system) == b).select(key, found.alias("_b"))
     yes = lambda c: F.count(F.when(c, 1))
     x, y = F.col("_a"), F.col("_b")
-    return one.join(two, key).agg(yes(x & y).alias("both"), yes(x & ~y).alias("only_a"), yes(~x & y).alias("only_b"), yes(~x & ~y).alias("neither"))
+    return one.join(two, key).agg(yes(x & y).alias("in_both"), yes(x & ~y).alias("only_a"), yes(~x & y).alias("only_b"), yes(~x & ~y).alias("neither"))
 
 
 def near_median(pool: DataFrame, value: str, text: str, key: str, plain: Column) -> DataFrame:

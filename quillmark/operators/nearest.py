@@ -127,3 +127,39 @@ def crowded_corpus(spark, dims: int, far: int, hidden: int, near: int, seed: int
     chunks = part(1, far, "other", "everyone", 1.0, False).unionByName(part(far + 1, hidden, "restructuring", "hr", 0.6, True)).unionByName(part(far + hidden + 1, near, "team notes", "liv", 1.2, True))
     query = spark.range(1).select(vector(F.lit(far + hidden + near + 2).cast("long") * dims, 0.3, True).alias("q"))
     return chunks, query
+
+
+def pair_distances(queries: DataFrame, rows: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(query, key, distance) of every query and row of one ``lang`` but different ``site``: a join on the language, with
+    the site as a residual.
+
+    Queries, a set of a stated size, and rows meet as blocks of one language, as products of matrices.
+    """
+    fields = "lang string, keys array<long>, sites array<string>, flat array<double>"
+
+    def pack(most: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                langs = np.array(b.column(0).to_pylist(), dtype=object)
+                for lang in sorted({x for x in langs if x is not None}):
+                    own = b.take(pa.array(np.flatnonzero(langs == lang)))
+                    for at in range(0, own.num_rows, most):
+                        p = own.slice(at, most)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([p.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([p.column(2).to_pylist()], pa.list_(pa.string())), pa.array([p.column(3).flatten().to_numpy(zero_copy_only=False)], pa.list_(pa.float64()))], names=["lang", "keys", "sites", "flat"])
+
+        return run
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qk, qs, qv, rk, rs, rv in zip(*(b.column(i) for i in range(6))):
+                qk, rk = (np.asarray(x.as_py()) for x in (qk, rk))
+                a, c = (x.values.to_numpy(zero_copy_only=False) for x in (qv, rv))
+                a, c = a.reshape(len(qk), -1), c.reshape(len(rk), -1)
+                d = 1.0 - (a @ c.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(c, axis=1))
+                other = np.array(qs.as_py(), dtype=object)[:, None] != np.array(rs.as_py(), dtype=object)[None, :]
+                qi, ri = np.nonzero(other)
+                yield pa.RecordBatch.from_arrays([pa.array(qk[qi]), pa.array(rk[ri]), pa.array(d[qi, ri])], names=["query", "key", "distance"])
+
+    q = queries.select("lang", F.col("query").cast("long"), "site", F.col("vec").cast("array<double>")).mapInArrow(pack(size), fields).toDF("lang", "qk", "qs", "qv")
+    r = rows.select("lang", F.col("key").cast("long"), "site", F.col("vec").cast("array<double>")).mapInArrow(pack(size * 4), fields).toDF("lang", "rk", "rs", "rv")
+    return q.join(r, "lang").select("qk", "qs", "qv", "rk", "rs", "rv").mapInArrow(meet, "query long, key long, distance double")

@@ -47,7 +47,7 @@ def random_others(queries: DataFrame, barred: DataFrame, passages: int, count: i
         return pd.DataFrame(out, columns=["query", "draw", "ord"])
 
     kind = queries.schema["query"].dataType.simpleString()
-    return listed.groupBy(F.lit(1)).applyInPandas(draw, f"query {kind}, draw int, ord long")
+    return listed.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(draw, f"query {kind}, draw int, ord long")
 
 
 def hashed_others(queries: DataFrame, passages: int, count: int, seed: int = 42) -> DataFrame:
