@@ -1,10 +1,14 @@
-"""Usable (system, query, item, score) rows from score lists, and monotone score bins."""
+"""Monotone score bins; usable (system, query, item, score) rows come from the core."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmark.operators.lists import exploded, system_scores
+
+__all__ = ["exploded", "score_bin", "system_scores"]
+
 #: Bins per factor of two in the distance from zero.
 BINS_PER_OCTAVE = 64
 
@@ -19,30 +23,3 @@ def score_bin(score: Column, per_octave: int = BINS_PER_OCTAVE) -> Column:
     size = F.least(F.abs(score), F.lit(1.7e308))
     steps = F.floor(F.log2(F.lit(1.0) + size * F.lit(float(2**40))) * F.lit(float(per_octave)))
     return F.when(score < 0, -steps).otherwise(steps).cast("int")
-
-
-def exploded(lists: DataFrame, keys: list[Column], ids: str, scores: str) -> DataFrame:
-    """One row per usable pair: the n-th id with the n-th score of a row.
-
-    Pairs with a missing id, a missing score or a NaN score are left out, as are the unmatched ends of arrays
-    of unequal length. Null and empty arrays give no rows.
-    """
-    pairs = F.arrays_zip(F.col("_i"), F.col("_s"))
-    flat = lists.select(*keys, F.col(ids).alias("_i"), F.col(scores).alias("_s"))
-    flat = flat.select(*[c for c in flat.columns if c not in ("_i", "_s")], F.explode(pairs).alias("_p"))
-    names = [c for c in flat.columns if c != "_p"]
-    flat = flat.select(*names, F.col("_p._i").alias("ord"), F.col("_p._s").alias("score"))
-    return flat.where(F.col("ord").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
-
-
-def system_scores(hits: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(system, query_id, ord, score), one row per item of a list, with its highest score.
-
-    System is ``bm25`` for hits and the run for ranked lists; rows of one query and system are one list. The
-    maximum is taken with partial aggregation and spread by item, so a query with very many items is no hot
-    group. Rows with a null query or run are a list of their own.
-    """
-    a = exploded(hits, [F.lit("bm25").alias("system"), F.col("query_id")], "ids", "scores")
-    b = exploded(ranked, [F.col("run").alias("system"), F.col("query_id")], "top", "topsims")
-    both = a.unionByName(b)
-    return both.groupBy("system", "query_id", "ord").agg(F.max("score").alias("score"))
