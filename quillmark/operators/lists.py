@@ -25,9 +25,7 @@ def system_scores(hits: DataFrame, ranked: DataFrame) -> DataFrame:
     maximum is taken with partial aggregation and spread by item, so a query with very many items is no hot
     group. Rows with a null query or run are a list of their own.
     """
-    a = exploded(hits, [F.lit("bm25").alias("system"), F.col("query_id")], "ids", "scores")
-    b = exploded(ranked, [F.col("run").alias("system"), F.col("query_id")], "top", "topsims")
-    return a.unionByName(b).groupBy("system", "query_id", "ord").agg(F.max("score").alias("score"))
+    return pair_rows(hits, ranked).groupBy("system", "query_id", "ord").agg(F.max("score").alias("score"))
 
 
 def in_order(scores: DataFrame) -> DataFrame:
@@ -40,3 +38,16 @@ def pooled_judgements(lists: DataFrame, depth: int = 10) -> DataFrame:
     """(query, doc, grade): documents in the first ``depth`` of some list; the grade is one less than how many systems'
     lists have them there, so what two systems agree on is relevant."""
     return lists.where(F.col("rank") <= depth).groupBy("query", "doc").agg((F.count_distinct("system") - 1).cast("int").alias("grade"))
+
+
+def list_sizes(hits: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(system, query_id, n): an upper bound of each list's items, from the arrays' lengths alone."""
+    a = hits.select(F.lit("bm25").alias("system"), "query_id", F.size("ids").alias("n"))
+    b = ranked.select(F.col("run").alias("system"), "query_id", F.size("top").alias("n"))
+    return a.unionByName(b).groupBy("system", "query_id").agg(F.sum(F.greatest(F.col("n"), F.lit(0))).cast("long").alias("n"))
+
+
+def pair_rows(hits: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(system, query_id, ord, score) of all usable pairs, repeated items and all."""
+    a = exploded(hits, [F.lit("bm25").alias("system"), F.col("query_id")], "ids", "scores")
+    return a.unionByName(exploded(ranked, [F.col("run").alias("system"), F.col("query_id")], "top", "topsims"))
