@@ -74,10 +74,11 @@ def throughput(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def tie_rate(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, scored, tie_rate): share of scored calls whose two best scores are equal; 0 without any."""
+    """(keys, scored, tie_rate): share of scored calls whose two best scores are equal; 0 without any. A missing
+    score equals none."""
     best = F.sort_array("scores", asc=False)
     scored = F.size("scores") > 1
-    tied = F.when(scored, (best[0] == best[1]).cast("double"))
+    tied = F.when(scored, F.coalesce(best[0] == best[1], F.lit(False)).cast("double"))
     return rows.groupBy(*keys).agg(F.count(F.when(scored, 1)).alias("scored"), F.coalesce(F.avg(tied), F.lit(0.0)).alias("tie_rate"))
 
 

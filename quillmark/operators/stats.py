@@ -12,7 +12,7 @@ DRAWS = 2000
 
 
 def _bin(x: Column) -> Column:
-    size = F.floor(F.log2(F.lit(1.0) + F.least(F.abs(x), F.lit(1.7e308)) * F.lit(float(2**30))) * F.lit(128.0))
+    size = F.floor(F.log2(F.lit(1.0) + F.least(F.abs(x), F.lit(1e290)) * F.lit(float(2**30))) * F.lit(128.0))
     return F.when(x < 0, -size).otherwise(size).cast("int")
 
 

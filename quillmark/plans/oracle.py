@@ -382,7 +382,7 @@ WITH {LATEST} SELECT ranker, {r6("sum(coalesce(inputtokens, 0) + coalesce(output
 FROM c WHERE ms IS NOT NULL AND NOT isnan(ms) AND ms > 0 GROUP BY ranker"""
 ORACLE["top_tie_rate"] = f"""
 WITH {LATEST}, x AS (SELECT ranker, scores, list_sort(scores, 'DESC', 'NULLS LAST') AS s FROM c)
-SELECT ranker, count(*) FILTER (WHERE len(scores) > 1) AS scored, {r6("coalesce(avg(CAST(s[1] = s[2] AS INTEGER)) FILTER (WHERE len(scores) > 1), 0)")} AS tie_rate FROM x GROUP BY ranker"""
+SELECT ranker, count(*) FILTER (WHERE len(scores) > 1) AS scored, {r6("coalesce(avg(CAST(coalesce(s[1] = s[2], false) AS INTEGER)) FILTER (WHERE len(scores) > 1), 0)")} AS tie_rate FROM x GROUP BY ranker"""
 ORDERED = f"""{LATEST},
 pos AS (SELECT line_no, ranker, machine, question, scores, unnest(order_ids) AS passage, generate_subscripts(order_ids, 1) AS i FROM c WHERE order_ids IS NOT NULL),
 placed AS (
