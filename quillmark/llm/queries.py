@@ -50,7 +50,7 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scores.system_scores(table(spark, sf_dir, "hits"), table(spark, sf_dir, "ranked"))
-    return topn.top_n(rows, ["system", "query_id"], "score", "ord", 10).select("system", "query_id", "place", "ord")
+    return topn.top_n(rows, ["system", "query_id"], "score", "ord", 10, durable).select("system", "query_id", "place", "ord")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
