@@ -53,14 +53,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(rows, ["system", "query_id"], "score", "ord", 10, durable).select("system", "query_id", "place", "ord")
 
 
+def _leximin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = table(spark, sf_dir, "hits"), table(spark, sf_dir, "ranked")
+    return leximin.leximin_vectors(scores.pair_rows(*both), scores.list_sizes(*both), 4)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = durable(scores.system_scores(table(spark, sf_dir, "hits"), table(spark, sf_dir, "ranked")), "p5")
-    return leximin.leximin_rank(rows, 4, top=1).select("query_id", "ord")
+    return leximin.leximin_rank(_leximin(spark, sf_dir), top=1).select("query_id", "ord")
 
 
 def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = durable(scores.system_scores(table(spark, sf_dir, "hits"), table(spark, sf_dir, "ranked")), "p5")
-    return leximin.leximin_rank(rows, 4)
+    return leximin.leximin_rank(_leximin(spark, sf_dir))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
