@@ -192,9 +192,9 @@ class SharedSpans:
         self.reps = self.docs.join(self._small(spare, 16), "doc", "left_anti")
         if not ids.where("n > 1").isEmpty():
             self.reps = self.reps.groupBy("doc").agg(F.min("text").alias("text"))
-        runs = self.reps.mapInArrow(_hash_runs(span, run), "h long, doc long, place int").repartition("h")
+        runs = keep(self.reps.mapInArrow(_hash_runs(span, run), "h long, doc long, place int"), "runs")
         several = runs.groupBy("h").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a < _b").select("h")
-        meeting = keep(runs.join(several.hint("shuffle_hash"), "h"), "meeting")
+        meeting = keep(runs.join(self._small(several, 32), "h"), "meeting")
         places = meeting.groupBy("doc").agg(F.collect_list(F.struct("h", "place")).alias("runs"))
         #: (h, doc, place, left, right) of the runs that occur in two texts or more.
         cut = self.reps.join(self._small(places, 400), "doc").select("doc", "text", "runs")
