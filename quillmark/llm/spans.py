@@ -196,9 +196,9 @@ class SharedSpans:
         several = runs.groupBy("h").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a < _b").select("h")
         meeting = keep(runs.join(self._small(several, 32), "h"), "meeting")
         places = meeting.groupBy("doc").agg(F.collect_list(F.struct("h", "place")).alias("runs"))
+        self.met = self.reps.join(self._small(places, 400), "doc").select("doc", "text", "runs")
         #: (h, doc, place, left, right) of the runs that occur in two texts or more.
-        cut = self.reps.join(self._small(places, 400), "doc").select("doc", "text", "runs")
-        self.meetings = cut.mapInArrow(_around(span, run), "h long, doc long, place int, left string, right string")
+        self.meetings = self.met.mapInArrow(_around(span, run), "h long, doc long, place int, left string, right string")
 
     @staticmethod
     def _small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -226,9 +226,9 @@ class SharedSpans:
         smallest id of those holding all of the part; copies of a text are not first. The parts are as long as they can be
         and don't touch others of the same kind.
         """
-        grams = self.meetings.select("doc", "place", "left", "right").mapInArrow(_grams(self.span), "g long, doc long, place int").distinct().repartition("g")
+        grams = self.keep(self.met.mapInArrow(_grams(self.span, self.run), "g long, doc long, place int"), "grams")
         held = grams.groupBy("g").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a < _b")
-        shared = grams.join(held.hint("shuffle_hash"), "g").select("doc", "place", (F.col("doc") == F.col("_a")).alias("first"))
+        shared = grams.join(self._small(held, 48), "g").select("doc", "place", (F.col("doc") == F.col("_a")).alias("first"))
         w = Window.partitionBy("doc", "first").orderBy("place")
         island = F.sum(F.coalesce((F.col("place") - F.lag("place").over(w) > self.span).cast("int"), F.lit(0))).over(w)
         parts = shared.withColumn("_i", island).groupBy("doc", "first", "_i").agg(F.min("place").alias("start"), (F.max("place") + self.span).alias("end")).drop("_i")
@@ -238,27 +238,35 @@ class SharedSpans:
         return own.unionByName(of_copies).unionByName(whole)
 
 
-def _grams(span: int):
+def _near(runs: list, length: int, span: int, run: int) -> list[tuple[int, int]]:
+    """Parts of a text, apart from each other, in which a shared span can lie: around each meeting run, and all that lies
+    between the first and last place of a run that recurs, as in a text that repeats itself."""
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for r in runs:
+        p = r["place"]
+        first[r["h"]] = min(p, first.get(r["h"], p))
+        last[r["h"]] = max(p, last.get(r["h"], p))
+    parts = [(r["place"], r["place"]) for r in runs] + [(first[h], last[h]) for h in first if last[h] > first[h]]
+    out: list[tuple[int, int]] = []
+    for a, z in sorted((max(0, a - span + run), min(length, z + span)) for a, z in parts):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def _grams(span: int, run: int):
+    """(hash, doc, place) of every run of ``span`` code points that can be shared."""
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, places, texts = [], [], []
-            for doc, p, left, right in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if len(left) + len(right) >= span:
-                    keys.append(doc)
-                    places.append(p - len(left))
-                    texts.append(left + right)
-            if not keys:
-                continue
-            code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-            lengths = np.array([len(t) for t in texts])
-            ends = np.cumsum(lengths)
-            h = run_hashes(code, span)
-            at = np.arange(len(h))
-            of = np.searchsorted(ends, at, "right")
-            ok = at + span <= ends[of]
-            at, of, h = at[ok], of[ok], h[ok]
-            place = at - (ends[of] - lengths[of]) + np.array(places)[of]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(keys, dtype=np.int64)[of]), pa.array(place.astype(np.int32))], names=["g", "doc", "place"])
+            for doc, text, runs in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for a, z in _near(runs, len(text), span, run):
+                    for at in range(a, z - span + 1, BLOCK):
+                        h = run_hashes(np.frombuffer(text[at : min(z, at + BLOCK + span - 1)].encode("utf-32-le", "surrogatepass"), dtype="<u4"), span)
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), doc, dtype=np.int64)), pa.array(np.arange(at, at + len(h), dtype=np.int32))], names=["g", "doc", "place"])
 
     return grams
 
