@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.numeric import uniform
-from quillmark.session import fits_broadcast
+from quillmark.session import durable, fits_broadcast
 
 DRAWS = 2000
 
@@ -53,17 +53,23 @@ def order_statistics(rows: DataFrame, keys: list[str], value: str, probs: dict[s
 
 
 def _indexed(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
-    """Numbers the rows of a group from 0: a sample that is resampled is of questions, thousands of them, not of data."""
+    """Numbers the rows of a group from 0: a sample that is resampled is of questions, thousands of them, not of data. It is
+    stored, as it is read for its size, for each draw and for its mean."""
     w = Window.partitionBy(*by).orderBy(*order)
-    return rows.select(*by, *order, F.col(value).cast("double").alias("_x")).withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    numbered = rows.select(*by, *order, F.col(value).cast("double").alias("_x")).withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    return durable(numbered, "sample")
 
 
-def bootstrap_means(rows: DataFrame, by: list[str], order: list[str], value: str, draws: int = DRAWS, seed: int = 7) -> DataFrame:
+def _draws(rows: DataFrame, draws: int) -> DataFrame:
+    spark = rows.sparkSession
+    return spark.range(0, draws, 1, max(spark.sparkContext.defaultParallelism, draws // 500)).select(F.col("id").alias("draw"))
+
+
+def _means(sample: DataFrame, by: list[str], draws: int, seed: int) -> DataFrame:
     """(by, draw, mean): means of resamples. Draw b takes numbers b n to b n + n - 1 of the stream, as one generator would."""
-    sample = _indexed(rows, by, order, value)
     groups = sample.groupBy(*by).agg(F.max("_n").alias("_n"))
-    spark = rows.sparkSession
-    each = groups.crossJoin(spark.range(draws).select(F.col("id").alias("draw"))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    # The draws are the side that is spread over tasks; groups are few.
+    each = _draws(sample, draws).crossJoin(F.broadcast(groups) if fits_broadcast(groups, 64) else groups).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     picked = each.withColumn("_i", F.floor(uniform(F.col("draw") * F.col("_n") + F.col("_k"), seed) * F.col("_n")).cast("int"))
     small = sample.select(*by, "_i", "_x")
     small = F.broadcast(small) if fits_broadcast(small, 64) else small
@@ -72,18 +78,20 @@ def bootstrap_means(rows: DataFrame, by: list[str], order: list[str], value: str
 
 def interval_of_mean(rows: DataFrame, by: list[str], order: list[str], value: str, draws: int = DRAWS, seed: int = 7, alpha: float = 0.05) -> DataFrame:
     """(by, n, mean, low, high): the percentile interval at level 1 - alpha, interpolated."""
-    means = bootstrap_means(rows, by, order, value, draws, seed)
+    sample = _indexed(rows, by, order, value)
+    means = _means(sample, by, draws, seed)
     ends = means.groupBy(*by).agg(F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_p"))
-    real = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    real = sample.groupBy(*by).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"))
     return real.join(ends, by).select(*by, "n", "mean", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"))
 
 
 def paired_interval(rows: DataFrame, by: list[str], order: list[str], diff: str, draws: int = DRAWS, seed: int = 7) -> DataFrame:
     """(by, n, mean, low, high) of paired differences, the ends being order statistics floor(.025 B) and ceil(.975 B) - 1."""
-    means = bootstrap_means(rows, by, order, diff, draws, seed)
+    sample = _indexed(rows, by, order, diff)
+    means = _means(sample, by, draws, seed)
     listed = means.groupBy(*by).agg(F.sort_array(F.collect_list("mean")).alias("_m"))
     lo, hi = int(0.025 * draws), -(-975 * draws // 1000) - 1
-    real = rows.groupBy(*by).agg(F.count(diff).alias("n"), F.avg(diff).alias("mean"))
+    real = sample.groupBy(*by).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"))
     return real.join(listed, by).select(*by, "n", "mean", F.col("_m")[lo].alias("low"), F.col("_m")[hi].alias("high"))
 
 
@@ -94,7 +102,7 @@ def stratified_interval(rows: DataFrame, stratum: str, order: list[str], diff: s
     sizes = sample.groupBy(stratum).agg(F.max("_n").alias("_n"))
     one = Window.partitionBy(F.lit(1)).orderBy(stratum)  # a row per stratum
     sizes = sizes.withColumn("_before", F.sum("_n").over(one.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(1))))
-    each = sizes.crossJoin(rows.sparkSession.range(draws).select(F.col("id").alias("draw"))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    each = _draws(rows, draws).crossJoin(F.broadcast(sizes) if fits_broadcast(sizes, 64) else sizes).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     picked = each.withColumn("_i", F.floor(uniform(F.col("draw") * F.col("_all") + F.col("_before") + F.col("_k"), seed) * F.col("_n")).cast("int"))
     small = sample.select(stratum, "_i", "_x")
     small = F.broadcast(small) if fits_broadcast(small, 64) else small

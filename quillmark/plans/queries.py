@@ -16,7 +16,7 @@ from quillmark.functions import text as tx
 from quillmark.functions import vector as vc
 from quillmark.functions.numeric import uniform
 from quillmark.operators import calibrate, calls, compare, fusion, lexical, lists, metrics, nearest, rankers, sampling, stats
-from quillmark.session import table
+from quillmark.session import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,11 +57,14 @@ def ranked_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, sf: str) -> DataFrame:
-    return lists.pooled_judgements(ranked_lists(spark, sf))
+    return durable(lists.pooled_judgements(ranked_lists(spark, sf)), "judged")
 
 
 def quality(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.ranking_metrics(ranked_lists(spark, sf), judged(spark, sf), by=["system"])
+    """Metrics of every list; lists are stored, as they are ranked for the judgements and again for the metrics."""
+    ordered = durable(ranked_lists(spark, sf), "lists")
+    pooled = durable(lists.pooled_judgements(ordered), "judged")
+    return metrics.ranking_metrics(ordered, pooled, by=["system"])
 
 
 def run_names(spark: SparkSession, sf: str) -> tuple[str, str]:
