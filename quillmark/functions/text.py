@@ -173,3 +173,17 @@ def as_ms(x: Column) -> Column:
 def signed_interval(diff: Column, low: Column, high: Column) -> Column:
     """+1.2 [0.3, 2.1], in percentage points."""
     return F.format_string("%+.1f [%.1f, %.1f]", diff * 100, low * 100, high * 100)
+
+
+def first_match(text: Column, rules: list[tuple[str, object]], otherwise: object = None) -> Column:
+    """The value of the first pattern, in the given order, that is found in the text."""
+    out = F.lit(otherwise)
+    for pattern, value in reversed(rules):
+        out = F.when(text.rlike(pattern), F.lit(value)).otherwise(out)
+    return out
+
+
+def fitting_width(dims: Column, shorter: Column, most: int = 1024) -> Column:
+    """Width to ask a model for so that its vectors fit a column: null for its own width, else the first of the widths it
+    can shorten to that fits, or the column's width where it names none."""
+    return F.when(dims <= most, F.lit(None).cast("int")).when(shorter.isNull(), F.lit(most)).otherwise(F.get(F.filter(shorter, lambda d: d <= most), F.lit(0)).cast("int"))

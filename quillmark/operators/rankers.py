@@ -193,3 +193,22 @@ def embed_all(rows: DataFrame, key: str, text: str, embedder: Embedder, prompt:
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {kind}, vec array<float>")
+
+
+def embed_within(embed: Callable[[list[str]], list[list[float]]], texts: list[str], too_long: Callable[[Exception], bool], cuts: int = 8, share: float = 0.75) -> list[list[float]]:
+    """Vectors of texts of which some may exceed a service's limit.
+
+    A batch that is refused as too long is split in halves; a single text is cut to its first 75 % of code points, and so on
+    up to ``cuts`` times.
+    """
+    try:
+        return embed(texts)
+    except Exception as e:
+        if not too_long(e) or not texts:
+            raise
+        if len(texts) > 1:
+            half = len(texts) // 2
+            return embed_within(embed, texts[:half], too_long, cuts, share) + embed_within(embed, texts[half:], too_long, cuts, share)
+        if cuts == 0:
+            raise
+        return embed_within(embed, [texts[0][: int(len(texts[0]) * share)]], too_long, cuts - 1, share)

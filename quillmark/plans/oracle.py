@@ -197,6 +197,29 @@ SELECT asked.system, set_name, count(*) AS relevant, {r6("avg(CASE WHEN f.doc IS
 FROM (SELECT DISTINCT system, query FROM l) asked JOIN g USING (query) JOIN p ON p.ord = g.doc
 LEFT JOIN (SELECT system, query, doc FROM l WHERE rank <= 24) f ON f.system = asked.system AND f.query = asked.query AND f.doc = g.doc GROUP BY ALL"""
 
+ORACLE["questions_without_hits"] = f"""
+WITH {LISTS} SELECT system, count(*) AS questions FROM (SELECT DISTINCT system, query FROM l WHERE system <> 'bm25') x
+WHERE query NOT IN (SELECT query FROM l WHERE system = 'bm25' AND query IS NOT NULL) GROUP BY system"""
+ORACLE["best_other"] = f"""
+WITH {LISTS}, rest AS (SELECT l.* FROM l LEFT JOIN g USING (query, doc) WHERE grade IS NULL)
+SELECT system, query, doc, CAST(rank AS INTEGER) AS rank, {r6("score")} AS score FROM rest QUALIFY row_number() OVER (PARTITION BY system, query ORDER BY rank) = 1"""
+ORACLE["rank_rule_pools"] = f"""
+WITH {M},
+b AS (SELECT a.first_rank AS ra, z.first_rank AS rz FROM m a JOIN m z ON a.query = z.query, first_run WHERE a.system = first_run.a AND z.system = first_run.z)
+SELECT count(*) FILTER (WHERE ra = 1 AND rz BETWEEN 3 AND 10) AS first_better, count(*) FILTER (WHERE rz = 1 AND ra BETWEEN 3 AND 10) AS last_better, count(*) FILTER (WHERE ra = 1 AND rz = 1) AS both_first FROM b"""
+LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+PROSE = rf"list_filter({LINES}, lambda x: NOT regexp_matches(x, '^\s*(#|\||>|:::)'))"
+SNIPPETS = rf"""
+b AS (SELECT ord, section, array_to_string(CASE WHEN len({PROSE}) > 0 THEN {PROSE} ELSE {LINES} END, ' ') AS t FROM p),
+sn AS (
+  SELECT ord, section, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '\\', '', 'g'), '[*_`#|]', '', 'g'), '-{{3,}}', '', 'g'), '\s+', ' ', 'g')), 180) AS snippet FROM b
+)"""
+ORACLE["top_examples"] = f"""
+WITH {P}, {LISTS}, {SNIPPETS}
+SELECT system, query, CAST(rank AS INTEGER) AS rank, doc, CASE WHEN grade IS NULL THEN 'not judged' WHEN grade > 0 THEN 'relevant' ELSE 'judged not relevant' END AS judged,
+  array_to_string(string_split(section, ' > ')[2:], ' › ') AS path, snippet
+FROM l LEFT JOIN j USING (query, doc) LEFT JOIN sn ON sn.ord = l.doc WHERE rank <= 8"""
+
 # --- Fusion ---
 
 LEGS = f"{LISTS}, leg AS (SELECT *, rank() OVER (PARTITION BY system, query ORDER BY score DESC) AS shared FROM u)"
@@ -347,17 +370,22 @@ def style(q: str) -> str:
     )
 
 
-ORACLE["calibration_levels"] = f"""
+def levels(keys: str) -> str:
+    return f"""
 WITH {P},
 v AS (SELECT DISTINCT ord, CAST(vec AS DOUBLE[]) AS v FROM vectors WHERE len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
 x AS (SELECT p.ord, split_part(sample, '/', 1) AS lang, sample, title, v FROM p JOIN v USING (ord)),
 d AS (
-  SELECT {style("a.title")} AS style, {COS.format(a="a.v", b="b.v")} AS v FROM x a JOIN x b ON a.lang = b.lang AND a.sample <> b.sample
+  SELECT a.lang, {style("a.title")} AS style, {COS.format(a="a.v", b="b.v")} AS v FROM x a JOIN x b ON a.lang = b.lang AND a.sample <> b.sample
   WHERE a.ord % 20 = 0 AND coalesce(a.title, '') <> ''
 ),
-q AS ({nearest_rank("d", "style", "v", {"balanced": 0.01, "loose": 0.05})}),
-w AS (SELECT style, max(value) FILTER (WHERE stat = 'balanced') AS t1, max(value) FILTER (WHERE stat = 'loose') AS t5 FROM q GROUP BY style)
-SELECT style, {r6("greatest(m, t1 - (t5 - t1) * ln(10) / ln(5))")} AS strict, {r6("t1")} AS balanced, {r6("t5")} AS loose FROM w JOIN (SELECT style, min(v) AS m FROM d GROUP BY style) USING (style)"""
+q AS ({nearest_rank("d", keys, "v", {"balanced": 0.01, "loose": 0.05})}),
+w AS (SELECT {keys}, max(value) FILTER (WHERE stat = 'balanced') AS t1, max(value) FILTER (WHERE stat = 'loose') AS t5 FROM q GROUP BY {keys})
+SELECT {keys}, {r6("greatest(m, t1 - (t5 - t1) * ln(10) / ln(5))")} AS strict, {r6("t1")} AS balanced, {r6("t5")} AS loose FROM w JOIN (SELECT {keys}, min(v) AS m FROM d GROUP BY {keys}) USING ({keys})"""
+
+
+ORACLE["calibration_levels"] = levels("style")
+ORACLE["calibration_levels_by_language"] = levels("lang, style")
 
 # --- The call log ---
 
@@ -417,11 +445,7 @@ FROM fr JOIN st ON st.query = fr.question GROUP BY ALL"""
 ORACLE["query_styles"] = f"WITH {P} SELECT ord, {style('title')} AS style FROM p"
 ORACLE["query_cutoffs"] = f"""
 WITH {P}, {TITLES} SELECT query, run, CASE WHEN {style("text")} = 'short' THEN shortq ELSE question END AS cutoff FROM titles, (SELECT DISTINCT run, shortq, question FROM searchcutoff)"""
-LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
-PROSE = rf"list_filter({LINES}, lambda x: NOT regexp_matches(x, '^\s*(#|\||>|:::)'))"
-ORACLE["snippets"] = rf"""
-WITH {P}, b AS (SELECT ord, array_to_string(CASE WHEN len({PROSE}) > 0 THEN {PROSE} ELSE {LINES} END, ' ') AS t FROM p)
-SELECT ord, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '\\', '', 'g'), '[*_`#|]', '', 'g'), '-{{3,}}', '', 'g'), '\s+', ' ', 'g')), 180) AS snippet FROM b"""
+ORACLE["snippets"] = f"WITH {P}, {SNIPPETS} SELECT ord, snippet FROM sn"
 ORACLE["short_excerpts"] = r"""
 WITH p AS (SELECT DISTINCT ord, text FROM passages), c AS (SELECT ord, text, left(text, 160) AS cut FROM p),
 k AS (SELECT *, CASE WHEN contains(cut, ' ') THEN greatest(160 - instr(reverse(cut), ' '), 140) ELSE 140 END AS n FROM c)

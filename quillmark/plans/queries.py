@@ -343,6 +343,39 @@ def recall_by_set(spark, sf):
     return both.groupBy("system", "set_name").agg(F.count(F.lit(1)).alias("relevant"), r6(F.avg(F.coalesce("f", F.lit(0)))).alias("recall24"))
 
 
+@query
+def questions_without_hits(spark, sf):
+    """Questions that runs rank passages for but the keyword leg doesn't."""
+    l = ranked_lists(spark, sf).select("system", "query").distinct()
+    return l.where("system <> 'bm25'").join(l.where("system = 'bm25'"), "query", "left_anti").groupBy("system").agg(F.count(F.lit(1)).alias("questions"))
+
+
+@query
+def best_other(spark, sf):
+    """Score and rank of each list's best passage that isn't relevant."""
+    good = judged(spark, sf).where("grade > 0").select("query", "doc")
+    rest = ranked_lists(spark, sf).join(good, ["query", "doc"], "left_anti")
+    return rest.groupBy("system", "query").agg(F.min(F.struct("rank", "doc", "score")).alias("b")).select("system", "query", "b.doc", "b.rank", r6("b.score").alias("score"))
+
+
+@query
+def rank_rule_pools(spark, sf):
+    """Questions whose first relevant passage one run has first and the other third to tenth, and the other way round."""
+    a, z = run_names(spark, sf)
+    q = quality(spark, sf)
+    both = q.where(F.col("system") == a).select("query", F.col("first_rank").alias("ra")).join(q.where(F.col("system") == z).select("query", F.col("first_rank").alias("rz")), "query")
+    yes = lambda c: F.count(F.when(c, 1))
+    return both.agg(yes((F.col("ra") == 1) & F.col("rz").between(3, 10)).alias("first_better"), yes((F.col("rz") == 1) & F.col("ra").between(3, 10)).alias("last_better"), yes((F.col("ra") == 1) & (F.col("rz") == 1)).alias("both_first"))
+
+
+@query
+def top_examples(spark, sf):
+    """The first eight passages of every list with what they say and whether they are relevant."""
+    p = passages(spark, sf).select(F.col("ord").alias("doc"), tx.snippet(F.col("text")).alias("snippet"), tx.section_path(F.col("section")).alias("path"))
+    l = compare.judged_status(ranked_lists(spark, sf).where("rank <= 8"), judged(spark, sf))
+    return l.join(p, "doc", "left").select("system", "query", "rank", "doc", "judged", "path", "snippet")
+
+
 # --- Statistics ---
 
 
@@ -445,15 +478,23 @@ def cutoff_in_force(spark, sf):
     return out.select("run", "level", "aim", "cutoff", r6("lets").alias("lets"), r6("keeps").alias("keeps"), "within")
 
 
-@query
-def calibration_levels(spark, sf):
-    """Levels by query style, from distances of passages to titles' passages of another site in the same language."""
+def _unrelated(spark, sf):
     v = table(spark, sf, "vectors").where(vc.usable(F.col("vec"), 64)).dropDuplicates(["ord"]).select("ord", "vec")
     p = passages(spark, sf).select("ord", F.substring_index("sample", "/", 1).alias("lang"), "sample", "title").join(v, "ord")
     q = p.where((F.col("ord") % 20 == 0) & (F.coalesce("title", F.lit("")) != ""))
     near = nearest.pair_distances(q.select(F.col("ord").alias("query"), "lang", F.col("sample").alias("site"), "vec"), p.select(F.col("ord").alias("key"), "lang", F.col("sample").alias("site"), "vec"))
-    styled = near.join(q.select(F.col("ord").alias("query"), tx.query_style(F.col("title")).alias("style")), "query").select("style", F.col("distance").alias("value"))
-    return calibrate.style_levels(styled, ["style"]).select("style", *[r6(c).alias(c) for c in ("strict", "balanced", "loose")])
+    return near.join(q.select(F.col("ord").alias("query"), "lang", tx.query_style(F.col("title")).alias("style")), "query").select("lang", "style", F.col("distance").alias("value"))
+
+
+@query
+def calibration_levels(spark, sf):
+    """Levels by query style, from distances of passages to titles' passages of another site in the same language."""
+    return calibrate.style_levels(_unrelated(spark, sf), ["style"]).select("style", *[r6(c).alias(c) for c in ("strict", "balanced", "loose")])
+
+
+@query
+def calibration_levels_by_language(spark, sf):
+    return calibrate.style_levels(_unrelated(spark, sf), ["lang", "style"]).select("lang", "style", *[r6(c).alias(c) for c in ("strict", "balanced", "loose")])
 
 
 # --- The call log ---

@@ -63,3 +63,11 @@ def spliced(text: str, start: str, end: str, inner: str) -> str:
     """The text with what stands between two markers replaced."""
     a = text.index(start) + len(start)
     return f"{text[:a]}\n{inner}\n{text[text.index(end, a):]}"
+
+
+def imported_vectors(source: DataFrame, path: str, count: int, width: int, vec: str = "vec") -> None:
+    """Copies vectors of another table after checking their number and width."""
+    facts = source.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.size(vec) != width, 1)).alias("bad")).first()
+    if facts["n"] != count or facts["bad"]:
+        raise ValueError(f"{facts['n']} vectors, {facts['bad']} of another width; {count} of {width} expected")
+    source.write.mode("overwrite").parquet(path)

@@ -122,3 +122,11 @@ def test_excerpts_per_question(spark):
     pdf = pd.DataFrame({"question": ["q", "q", "r"], "query": ["zebra", "zebra", None], "pos": [2, 1, 1], "text": ["x " * 900 + "zebra", "no", None]})
     out = {(r.question, r.pos): r.excerpt for r in judging.excerpt_candidates(spark.createDataFrame(pdf)).collect()}
     assert out[("q", 2)].startswith("… ") and out[("q", 1)] == "no" and out[("r", 1)] == ""
+
+
+def test_profiles(spark):
+    rules = [("^big", 2), ("g", 1)]
+    assert [one(spark, text.first_match(F.lit(x), rules, 0)) for x in ("big", "gig", "x")] == [2, 1, 0]
+    some = F.array(F.lit(3072), F.lit(768), F.lit(256))
+    assert one(spark, text.fitting_width(F.lit(3072), some)) == 768 and one(spark, text.fitting_width(F.lit(768), some)) is None
+    assert one(spark, text.fitting_width(F.lit(3072), F.lit(None).cast("array<int>"))) == 1024

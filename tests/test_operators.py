@@ -265,3 +265,20 @@ def test_rankers(spark):
     assert b.wait(30) == 50 and b.wait(10) == 0
     vecs = rankers.embed_all(spark.createDataFrame([(1, "a cat"), (2, "a cat"), (3, None)], "k int, t string"), "k", "t", rankers.HashedEmbedder(16)).collect()
     assert len(vecs) == 2 and vecs[0].vec == vecs[1].vec
+
+
+def test_embedding_within_limits():
+    class TooLong(Exception):
+        pass
+
+    def embed(texts):
+        if sum(map(len, texts)) > 20:
+            raise TooLong
+        return [[float(len(t))] for t in texts]
+
+    long = lambda e: isinstance(e, TooLong)
+    assert rankers.embed_within(embed, ["a" * 15, "b" * 15, "c" * 30], long) == [[15.0], [15.0], [16.0]]
+    with pytest.raises(TooLong):
+        rankers.embed_within(embed, ["a" * 10_000], long, cuts=2)
+    with pytest.raises(ZeroDivisionError):
+        rankers.embed_within(lambda t: 1 / 0, ["a"], long)
