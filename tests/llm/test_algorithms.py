@@ -134,7 +134,10 @@ def test_code_layout_and_learning():
     assert mih.layout(1)[0] == 8
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 16))
-    codes = mih.learn(x / np.linalg.norm(x, axis=1, keepdims=True), 40)
-    assert codes.axes.shape == (16, 40)
+    codes = mih.learn(x / np.linalg.norm(x, axis=1, keepdims=True), 300)
+    assert codes.axes.shape[0] == 16 and codes.axes.shape[1] >= 192
     assert np.allclose(codes.axes[:, :16].T @ codes.axes[:, :16], np.eye(16), atol=1e-3)
-    assert mih.learn(np.empty((0, 4)), 8).axes.shape == (4, 8)
+    assert mih.learn(np.empty((0, 4)), 1).axes.shape[0] == 4
+    crowd = x * 0.01 + 1
+    assert mih.centre(crowd / np.linalg.norm(crowd, axis=1, keepdims=True))[1] == mih.AIM
+    assert mih.centre(x / np.linalg.norm(x, axis=1, keepdims=True))[0].any()
