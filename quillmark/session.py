@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -36,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='quillmark-')}"
+        folder = tempfile.mkdtemp(prefix="quillmark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = f"file://{folder}"
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -53,6 +57,13 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_durable(spark: SparkSession) -> None:
+    """Deletes all that ``durable`` wrote to the shared folder, when no result that reads it is in use any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillmark")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fits_broadcast(df: DataFrame, row_bytes: int, budget: int = 32 << 20) -> bool:
     """True when ``df`` has at most ``budget // row_bytes`` rows; reads no more than one row beyond that."""
     most = budget // row_bytes

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark import schemas
-from quillmark.session import durable, fits_broadcast
+from quillmark.session import drop_durable, durable, fits_broadcast
 from quillmark.sources import files, sets, sinks
 from quillmark.streaming import log
 
@@ -86,6 +86,9 @@ def test_durable_tables(spark):
     kept = durable(df, "t")
     assert sorted(kept.collect()) == sorted(kept.collect()) and kept.dtypes == df.dtypes and kept.count() == 10
     assert fits_broadcast(df, 100) and not fits_broadcast(df, 100, 500)
+    drop_durable(spark)
+    with pytest.raises(Exception):
+        kept.collect()
     assert not files.exists(spark, "no_such_table") and files.series(spark, 3, 5).count() == 3
 
 
