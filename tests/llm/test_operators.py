@@ -37,7 +37,7 @@ def test_nearest_vectors(spark):
         items += [(len(items) + i, centre + rng.standard_normal(32) * 0.25) for i in range(rng.integers(1, 7))]
     items = [(int(k), [float(x) for x in np.float32(v)]) for k, v in items]
     items += [(1000 + i, items[3][1]) for i in range(9)]  # copies
-    extra = [(2000, None), (2001, []), (2002, [0.0] * 32), (2003, [float("nan")] * 32), (2004, [1.0] * 31), (2005, [None] + [1.0] * 31), (None, [1.0] * 32)]
+    extra = [(2000, None), (2001, []), (2002, [0.0] * 32), (2003, [float("nan")] * 32), (2006, [float("inf")] * 32), (2004, [1.0] * 31), (2005, [None] + [1.0] * 31), (None, [1.0] * 32)]
     df = spark.createDataFrame([(k, v, 1, 2) for k, v in items + extra + items[:5]], "key long, vec array<float>, n int, bucket int")
     found = mih.nearest(mih.usable(df, "key", "vec", 32, F.lit("c")), 32, 5, durable).where("cos >= 0.85")
     got = {(r.key, r.other) for r in found.collect()}
