@@ -207,7 +207,8 @@ def nearest(vectors: DataFrame, width: int, k: int, keep: Callable[[DataFrame, s
 
     ``vectors`` comes from ``usable``; equal similarities rank by smaller key. Vectors within the Hamming radius are found
     for certain, those of similarity AIM with probability 1 - MISS, closer ones more often; measured recall is in the
-    README. Vectors that are equal in every element are one class: a class is indexed once, stood for by its smallest key,
+    README. Neighbours less similar than AIM are mostly not found, so a vector may get fewer than ``k`` rows: cut the
+    result at AIM, or use ``nearest_exact``. Vectors that are equal in every element are one class: a class is indexed once, stood for by its smallest key,
     and its members get their neighbours from it, so that copies are never compared pair by pair. Repeated rows of a key
     count once. A collection without usable vectors gives no rows.
     """
@@ -232,3 +233,56 @@ def nearest(vectors: DataFrame, width: int, k: int, keep: Callable[[DataFrame, s
     of_all = of_reps.join(members.select("coll", F.col("rep").alias("key"), F.col("key").alias("_m")), ["coll", "key"], "left")
     of_all = of_all.select("coll", F.coalesce("_m", "key").alias("key"), "other", "cos").where(F.col("key") != F.col("other"))
     return best(of_all, "key", k)
+
+
+def _exact_blocks(width: int, size: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            colls = np.array(b.column(0).to_pylist(), dtype=object)
+            for coll in sorted(set(colls)):
+                own = b.take(pa.array(np.flatnonzero(colls == coll)))
+                for at in range(0, own.num_rows, size):
+                    part = own.slice(at, size)
+                    flat = part.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([coll]), pa.array([part.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([flat], pa.list_(pa.float32()))], names=["coll", "keys", "flat"])
+
+    return pack
+
+
+def nearest_exact(vectors: DataFrame, asked: DataFrame, width: int, k: int, keep: Callable[[DataFrame, str], DataFrame], size: int = 1024) -> DataFrame:
+    """(coll, key, other, cos, place): of every vector of ``asked`` its ``k`` most similar others of its collection, best
+    first, at any similarity.
+
+    Both come from ``usable``. All pairs are compared, block by block as products of matrices, so ``asked`` is to be a set
+    of a stated size; of each block only ``k`` rows a vector go on. Similarities are rounded to 9 digits, so that copies tie;
+    ties rank by smaller key. Of the rows of one key the smallest vector counts.
+    """
+
+    def blocks(df: DataFrame, label: str) -> DataFrame:
+        one = df.groupBy("coll", "key").agg(F.min("vec").alias("vec"))
+        return keep(one.mapInArrow(_exact_blocks(width, size), "coll string, keys array<long>, flat array<float>"), label)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (coll, qk, rk) in enumerate(zip(*(b.column(n) for n in (0, 1, 3)))):
+                qk, rk = (x.values.to_numpy(zero_copy_only=False) for x in (qk, rk))
+                qv, rv = b.column(2).slice(i, 1), b.column(4).slice(i, 1)
+                order = np.argsort(rk)
+                rk = rk[order]
+                cos = np.minimum(np.round(unit_rows(qv, width) @ unit_rows(rv, width)[order].T, 9), 1.0)
+                cos[qk[:, None] == rk[None, :]] = -np.inf
+                most = min(k, len(rk))
+                edge = -np.partition(-cos, most - 1, axis=1)[:, most - 1 : most]
+                qi, ri = np.nonzero((cos >= edge) & (cos > -np.inf))
+                best = np.lexsort((ri, -cos[qi, ri], qi))
+                qi, ri = qi[best], ri[best]
+                first = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+                qi, ri = qi[first], ri[first]
+                yield pa.RecordBatch.from_arrays([pa.array([coll.as_py()] * len(qi), pa.string()), pa.array(qk[qi]), pa.array(rk[ri]), pa.array(cos[qi, ri])], names=["coll", "key", "other", "cos"])
+
+    q, r = blocks(asked, "asked").alias("q"), blocks(vectors, "all").alias("r")
+    # As a range, since an equality would bring all blocks of a collection into one task.
+    met = r.join(q, (F.col("q.coll") <= F.col("r.coll")) & (F.col("q.coll") >= F.col("r.coll")))
+    found = met.select("q.coll", F.col("q.keys").alias("qk"), F.col("q.flat").alias("qv"), F.col("r.keys").alias("rk"), F.col("r.flat").alias("rv")).mapInArrow(meet, "coll string, key long, other long, cos double")
+    w = Window.partitionBy("coll", "key").orderBy(F.desc("cos"), F.asc("other"))
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -13,20 +13,23 @@ from quillmark.session import durable, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _nearest(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks = mih.usable(table(spark, sf_dir, "chunks"), "id", "embedding", 384, F.lit("chunks"))
     vectors = mih.usable(table(spark, sf_dir, "vectors"), "ord", "vec", 64, F.col("set_name"))
-    return mih.nearest(chunks, 384, k, durable).unionByName(mih.nearest(vectors, 64, k, durable))
+    return chunks, vectors
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = _nearest(spark, sf_dir, 5).where("cos >= 0.85")
+    chunks, vectors = _vectors(spark, sf_dir)
+    near = mih.nearest(chunks, 384, 5, durable).unionByName(mih.nearest(vectors, 64, 5, durable)).where("cos >= 0.85")
     return near.select(F.col("coll").alias("collection"), F.least("key", "other").alias("id_a"), F.greatest("key", "other").alias("id_b")).distinct()
 
 
 def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar vectors of every vector whose key is divisible by 20, among all vectors."""
-    near = _nearest(spark, sf_dir, 10).where(F.col("key") % 20 == 0)
+    exact = lambda df, width: mih.nearest_exact(df, df.where(F.col("key") % 20 == 0), width, 10, durable)
+    chunks, vectors = _vectors(spark, sf_dir)
+    near = exact(chunks, 384).unionByName(exact(vectors, 64))
     return near.select(F.col("coll").alias("collection"), "key", "place", "other", F.round("cos", 6).alias("similarity"))
 
 

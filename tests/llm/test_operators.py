@@ -59,6 +59,39 @@ def test_nearest_in_crowded_buckets(spark, monkeypatch):
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_nearest_at_any_similarity(spark):
+    rng = np.random.default_rng(9)
+    items = [(i, [float(x) for x in np.float32(rng.standard_normal(32))]) for i in range(300)]
+    items += [(400 + i, items[20][1]) for i in range(15)]  # copies
+    df = spark.createDataFrame([(c, *x) for c in ("c", "d") for x in items + items[:4]] + [("one", 20, items[0][1])], "c string, key long, vec array<float>")
+    vectors = mih.usable(df, "key", "vec", 32, F.col("c"))
+    found = mih.nearest_exact(vectors, vectors.where("key % 20 = 0"), 32, 10, durable, 64)
+    v = np.array([x for _, x in items])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = {}
+    for i, (key, _) in enumerate(items):
+        if key % 20 == 0:
+            order = sorted((-round(min(1.0, float(v[i] @ v[j])), 9), o) for j, (o, _) in enumerate(items) if o != key)
+            want[key] = [o for _, o in order[:10]]
+    got = defaultdict(list)
+    for r in found.orderBy("coll", "key", "place").collect():
+        got[(r.coll, r.key)].append(r.other)
+    assert dict(got) == {(c, key): o for c in ("c", "d") for key, o in want.items()}
+    assert want[20] == list(range(400, 410))
+    assert mih.nearest_exact(vectors.limit(0), vectors, 32, 10, durable).count() == 0
+
+
+def test_nearest_query_gives_ten_neighbours(spark, tmp_path):
+    from quillmark.llm.queries import p1_nearest
+
+    rng = np.random.default_rng(10)
+    vec = lambda d: [float(x) for x in rng.standard_normal(d)]
+    spark.createDataFrame([(i, vec(384)) for i in range(60)], "id long, embedding array<float>").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([("s", i, vec(64)) for i in range(60)], "set_name string, ord long, vec array<float>").write.parquet(f"{tmp_path}/vectors.parquet")
+    got = Counter((r.collection, r.key) for r in p1_nearest(spark, str(tmp_path)).collect())
+    assert got == {(c, key): 10 for c in ("chunks", "s") for key in (0, 20, 40)}
+
+
 def test_nearest_of_nothing(spark):
     df = spark.createDataFrame([], "key long, vec array<float>")
     assert mih.nearest(mih.usable(df, "key", "vec", 8, F.lit("c")), 8, 5, durable).count() == 0
