@@ -4,7 +4,8 @@ A shared span may start and end anywhere, so that it needn't hold several whole
 sentences would miss such spans. The runs hashed here are therefore cut where the text itself chooses: of every
 ``WINDOW`` consecutive runs of ``RUN`` code points the one with the smallest hash is taken. Texts that share a span of
 ``SPAN`` = WINDOW + RUN - 1 code points hold the same window of runs, take the same one from it, and so meet in the global
-join of hashes, whatever surrounds the span. Every meeting is then compared as text.
+join of hashes, whatever surrounds the span. Every meeting is then compared as text. Where a run repeats with an overlap,
+its places in two texts needn't be aligned, so such a stretch is compared by all runs of ``SPAN`` code points around it.
 """
 
 from __future__ import annotations
@@ -73,11 +74,7 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def chosen(texts: list[str], span: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, place, hash) of the runs that the texts choose; texts shorter than ``span`` choose none.
-
-    Where a run repeats with an overlap, as in "aaaa", only the first and last of the repetitions are kept: a span inside
-    such a stretch shows at its first run, one that leaves it contains its first or last.
-    """
+    """(text number, place, hash) of the runs that the texts choose; texts shorter than ``span`` choose none."""
     parts = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
     lengths = np.array([len(p) for p in parts])
     ends = np.cumsum(lengths)
@@ -95,14 +92,21 @@ def chosen(texts: list[str], span: int, run: int) -> tuple[np.ndarray, np.ndarra
     key = hashes[at]
     order = np.lexsort((at, key, text))
     t, h, p = text[order], key[order], at[order]
-    near = (t[1:] == t[:-1]) & (h[1:] == h[:-1]) & (p[1:] - p[:-1] <= run)
-    inner = np.zeros(len(p), dtype=bool)
-    if len(p) > 2:
-        inner[1:-1] = near[:-1] & near[1:]
-    t, h, p = t[~inner], h[~inner], p[~inner]
     return t, p - (ends[t] - lengths[t]), h
 
 
+def repetitions(t: np.ndarray, p: np.ndarray, h: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first place, last place, hash) of what ``chosen`` gives.
+
+    Where a run repeats with an overlap, as in "aaaa", the repetitions are one stretch from the first to the last; else first
+    and last place are the same.
+    """
+    edge = np.ones(len(p) + 1, dtype=bool)
+    edge[1:-1] = (t[1:] != t[:-1]) | (h[1:] != h[:-1]) | (p[1:] - p[:-1] > run)
+    first, last = edge[:-1], edge[1:]
+    return t[first], p[first], p[last], h[first]
+
+
 def _blocks(keys: list, texts: list) -> Iterator[tuple[list, list]]:
     some, own, size = [], [], 0
     for k, t in zip(keys, texts):
@@ -124,15 +128,16 @@ def _hash_runs(span: int, run: int):
             # A very long text goes in slices that overlap by a span less one, so that every span lies in one of them.
             slices = [(doc, i, text[i : i + BLOCK]) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i in range(0, max(1, len(text) - span + 1), step)]
             for keys, texts in _blocks([x[:2] for x in slices], [x[2] for x in slices]):
-                t, place, h = chosen(texts, span, run)
+                t, place, last, h = repetitions(*chosen(texts, span, run), run)
                 docs, offsets = np.array(keys, dtype=np.int64).reshape(-1, 2).T
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs[t]), pa.array((place + offsets[t]).astype(np.int32))], names=["h", "doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs[t]), pa.array((place + offsets[t]).astype(np.int32)), pa.array((last + offsets[t]).astype(np.int32))], names=["h", "doc", "place", "last"])
 
     return hash_runs
 
 
 def _around(span: int, run: int):
-    """Cuts what lies left and right of each meeting run, as far as a shared span can reach."""
+    """Cuts what lies left and right of each meeting run, as far as a shared span can reach. Of a stretch of repetitions
+    come the distinct hashes of all runs of ``span`` code points that hold one of them instead; they are few, as it repeats."""
     reach = span - run
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,14 +145,22 @@ def _around(span: int, run: int):
             out = []
             for doc, text, runs in zip(*(b.column(i).to_pylist() for i in range(3))):
                 for r in runs:
-                    p = r["place"]
-                    out.append((r["h"], doc, p, text[max(0, p - reach) : p], text[p : p + span]))
+                    p, last = r["place"], r["last"]
+                    if p == last:
+                        out.append((r["h"], doc, p, text[max(0, p - reach) : p], text[p : p + span], None))
+                    else:
+                        out.append((r["h"], doc, p, None, None, span_hashes(text[max(0, p - reach) : last + span], span)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["h", "doc", "place", "left", "right"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64())))], names=["h", "doc", "place", "left", "right", "grams"])
 
     return around
 
 
+def span_hashes(text: str, span: int) -> np.ndarray:
+    """The distinct hashes of all runs of ``span`` code points, sorted."""
+    return np.unique(run_hashes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"), span).view(np.int64))
+
+
 def common_prefix(a: str, b: str) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -163,9 +176,20 @@ def common_prefix(a: str, b: str) -> int:
 
 
 def _same(span: int):
+    def meet(la: str | None, ra: str | None, ga: np.ndarray | None, lb: str | None, rb: str | None, gb: np.ndarray | None) -> bool:
+        if ga is None and gb is None:
+            return common_prefix(ra, rb) + common_prefix(la[::-1], lb[::-1]) >= span
+        ga = span_hashes(la + ra, span) if ga is None else ga
+        gb = span_hashes(lb + rb, span) if gb is None else gb
+        return len(np.intersect1d(ga, gb, assume_unique=True)) > 0
+
+    def lists(column) -> list:
+        return [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in column]
+
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [(x, y) for x, y, la, ra, lb, rb in zip(*(b.column(i).to_pylist() for i in range(6))) if common_prefix(ra, rb) + common_prefix(la[::-1], lb[::-1]) >= span]
+            x, y, la, ra, lb, rb = (b.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6))
+            good = [(i, j) for i, j, *both in zip(x, y, la, ra, lists(b.column(4)), lb, rb, lists(b.column(7))) if meet(*both)]
             if good:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*dict.fromkeys(good))], names=["a", "b"])
 
@@ -192,13 +216,13 @@ class SharedSpans:
         self.reps = self.docs.join(self._small(spare, 16), "doc", "left_anti")
         if not ids.where("n > 1").isEmpty():
             self.reps = self.reps.groupBy("doc").agg(F.min("text").alias("text"))
-        runs = keep(self.reps.mapInArrow(_hash_runs(span, run), "h long, doc long, place int"), "runs")
+        runs = keep(self.reps.mapInArrow(_hash_runs(span, run), "h long, doc long, place int, last int"), "runs")
         several = runs.groupBy("h").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a < _b").select("h")
         meeting = keep(runs.join(self._small(several, 32), "h"), "meeting")
-        places = meeting.groupBy("doc").agg(F.collect_list(F.struct("h", "place")).alias("runs"))
+        places = meeting.groupBy("doc").agg(F.collect_list(F.struct("h", "place", "last")).alias("runs"))
         self.met = self.reps.join(self._small(places, 400), "doc").select("doc", "text", "runs")
-        #: (h, doc, place, left, right) of the runs that occur in two texts or more.
-        self.meetings = self.met.mapInArrow(_around(span, run), "h long, doc long, place int, left string, right string")
+        #: (h, doc, place, left, right, grams) of the runs that occur in two texts or more.
+        self.meetings = self.met.mapInArrow(_around(span, run), "h long, doc long, place int, left string, right string, grams array<long>")
 
     @staticmethod
     def _small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -209,7 +233,7 @@ class SharedSpans:
         m = self.keep(self.meetings, "around")
         a, b = m.alias("a"), m.alias("b")
         met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.doc") < F.col("b.doc")))
-        met = met.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), F.col("a.left").alias("la"), F.col("a.right").alias("ra"), F.col("b.left").alias("lb"), F.col("b.right").alias("rb"))
+        met = met.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), *(F.col(f"{s}.{c}").alias(c[0] + s) for s in "ab" for c in ("left", "right", "grams")))
         linked = met.mapInArrow(_same(self.span), "a long, b long").distinct()
         wide = linked.join(self.copies.select(F.col("rep").alias("a"), F.col("doc").alias("da")), "a", "left").join(self.copies.select(F.col("rep").alias("b"), F.col("doc").alias("db")), "b", "left")
         x, y = F.coalesce("da", "a"), F.coalesce("db", "b")
@@ -246,7 +270,7 @@ def _near(runs: list, length: int, span: int, run: int) -> list[tuple[int, int]]
     for r in runs:
         p = r["place"]
         first[r["h"]] = min(p, first.get(r["h"], p))
-        last[r["h"]] = max(p, last.get(r["h"], p))
+        last[r["h"]] = max(r["last"], last.get(r["h"], p))
     parts = [(r["place"], r["place"]) for r in runs] + [(first[h], last[h]) for h in first if last[h] > first[h]]
     out: list[tuple[int, int]] = []
     for a, z in sorted((max(0, a - span + run), min(length, z + span)) for a, z in parts):

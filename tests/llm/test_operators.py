@@ -360,3 +360,21 @@ def test_shared_spans(spark):
     assert kept[100] == "" and kept[101] == "" and len(kept) == len(texts)
     none = spans.SharedSpans(df.limit(0), durable)
     assert none.pairs().count() == 0 and none.stretches().count() == 0
+
+
+def test_shared_spans_in_unequal_repetitions(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghij .") for _ in range(n))
+    texts = {}
+    for unit in ("- ", "A sentence of thirty-one marks."):
+        for short, long, rest in ((150, 400, 60), (170, 600, 60), (180, 900, 40)):
+            for _ in range(25):
+                tail = word(rest)
+                for n in (short, long):
+                    texts[len(texts)] = word(30) + (unit * n)[-n:] + tail + word(50)
+                texts[len(texts)] = word(30) + tail + (unit * n)[:n] + word(50)
+    df = spark.createDataFrame(list(texts.items()), "doc long, text string")
+    op = spans.SharedSpans(df, durable)
+    pairs, covered = shared_brute(texts, 200)
+    assert {tuple(r) for r in op.pairs().collect()} == pairs
+    assert {r.doc_id: r.shared for r in spans.coverage(op.stretches(), df).collect()} == covered
