@@ -28,7 +28,7 @@ AIM, MISS = 0.85, 0.03
 CHECKED, SLACK = 192, 0.09
 #: Similarity that a pair of AIM keeps at least when the mean is taken off; else vectors are not centred.
 CENTRED = 0.6
-#: Rows of one bucket beyond which it is split by a second substring.
+#: Rows of one bucket beyond which it is compared in salted blocks of about this size.
 HOT = 4096
 
 
@@ -175,21 +175,23 @@ def similar_pairs(vectors: DataFrame, width: int, keep: Callable[[DataFrame, str
     inputs = rows.join(known, "coll").select("rid", F.xxhash64("coll").alias("h"), "n", "vec")
     index = inputs.mapInArrow(_index(shared, width, longs), "bucket long, rid long, tab int, " + ", ".join(f"{w} long" for w in words))
 
-    hot = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("bucket")
+    hot = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > HOT).select("bucket", F.ceil(F.col("rows") / HOT).cast("int").alias("parts"))
     hot = keep(hot, "hot")
+    index = index.select("bucket", "rid", F.lit(0).alias("part"), F.lit(True).alias("within"), *words)
     if not hot.isEmpty():
-        # Crowded buckets are split by every other substring in turn: of codes that differ in fewer bits than there are
-        # substrings less one, at least two substrings agree, so that radius is still retrieved whole.
-        crowded = index.join(hot, "bucket").withColumnRenamed("bucket", "first").withColumnRenamed("tab", "t1")
-        other = index.select(F.col("rid").alias("r2"), F.col("bucket").alias("second"), F.col("tab").alias("t2"))
-        split = crowded.join(other, (F.col("rid") == F.col("r2")) & (F.col("t1") != F.col("t2")))
-        split = split.select(F.xxhash64("first", "second").alias("bucket"), "rid", *words)
-        index = index.join(hot, "bucket", "left_anti").select("bucket", "rid", *words).unionByName(split)
-    index = index.select("bucket", "rid", *words)
+        # Crowded buckets are compared whole, in blocks: a row is in a block with each part of its bucket, and is compared
+        # with the rows of that part only.
+        hot = F.broadcast(hot) if fits_broadcast(hot, 16) else hot
+        crowded = index.join(hot, "bucket").withColumn("part", F.pmod(F.xxhash64("rid", "bucket"), F.col("parts")).cast("int"))
+        crowded = crowded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        block = F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other"))
+        split = crowded.select(block.alias("bucket"), "rid", "part", (F.col("part") == F.col("other")).alias("within"), *words)
+        index = index.join(hot, "bucket", "left_anti").unionByName(split)
 
     a, b = index.alias("a"), index.alias("b")
     differ = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words[1:]), F.bit_count(F.col("a.c0").bitwiseXOR(F.col("b.c0"))))
-    near = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rid") < F.col("b.rid")) & (differ <= int(radius * CHECKED)))
+    apart = F.col("a.within") | (F.col("a.part") != F.col("b.part"))
+    near = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rid") < F.col("b.rid")) & apart & (differ <= int(radius * CHECKED)))
     pairs = keep(near.select(F.col("a.rid").alias("ra"), F.col("b.rid").alias("rb")).distinct(), "pairs")
 
     ids = pairs.select(F.col("ra").alias("rid")).union(pairs.select("rb")).distinct()

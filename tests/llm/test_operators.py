@@ -59,6 +59,19 @@ def test_nearest_in_crowded_buckets(spark, monkeypatch):
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(48)
+    items = [(i, [float(x) for x in centre + rng.standard_normal(48) * 0.4]) for i in range(400)]
+    df = spark.createDataFrame(items, "key long, vec array<float>")
+    vectors = mih.usable(df, "key", "vec", 48, F.lit("c")).cache()
+    found = []
+    for hot in (10_000, 10):
+        monkeypatch.setattr(mih, "HOT", hot)
+        found.append({(r.a, r.b) for r in mih.similar_pairs(vectors, 48, durable).collect()})
+    assert found[0] == found[1] and len(found[0]) > 10_000
+
+
 def test_nearest_at_any_similarity(spark):
     rng = np.random.default_rng(9)
     items = [(i, [float(x) for x in np.float32(rng.standard_normal(32))]) for i in range(300)]
