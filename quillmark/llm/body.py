@@ -54,8 +54,9 @@ Usamos cookies; Este sitio guarda pequeños archivos en su equipo; Su privacidad
 
 #: A line is furniture of a site if so large a share of the site's pages carry it, and at least so many pages.
 SITE_SHARE, SITE_PAGES = 0.03, 3
-#: A line that so many sites carry, each on SITE_PAGES pages or more, says nothing about one of them.
-COMMON_SITES = 3
+#: A line that so many sites carry, each on such a share of its pages, says nothing about one of them, unless so high a share
+#: of that one's pages carry it that it is furniture there.
+COMMON_SITES, COMMON_SHARE, HIGH_SHARE = 3, 0.01, 0.25
 
 _BULLET = re.compile(r"^(?:[-*•»›·–]|\d+[.)])\s+")
 _END = re.compile(r"[.!?。！？…:：;]['\")”»]?$")
@@ -187,15 +188,18 @@ def _page_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def site_lines(pages: DataFrame, keep: Callable[[DataFrame, str], DataFrame], share: float = SITE_SHARE, least: int = SITE_PAGES) -> DataFrame:
     """(site, lines): the lines that at least ``share`` of a site's pages carry, and at least ``least`` pages.
 
-    Lines that COMMON_SITES sites or more carry on ``least`` pages are left out. A page has so many lines on average, a site has at
+    Lines that COMMON_SITES sites or more carry on COMMON_SHARE of their pages are left out where fewer than HIGH_SHARE of the
+    site's pages carry them: only shares tell, so that the same site comes out alike in a larger table. A page has so many lines on average, a site has at
     most 1 / share times as many here, whatever its size.
     """
     size = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     size = F.broadcast(size) if fits_broadcast(size, 64) else size
-    counts = keep(pages.select("site", "text").mapInArrow(_page_lines, "site string, line string").groupBy("site", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "lines")
-    often = counts.join(size, "site").where(F.col("n") >= share * F.col("pages")).select("site", "line")
-    common = counts.groupBy("line").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= COMMON_SITES)
-    return often.join(common, "line", "left_anti").groupBy("site").agg(F.collect_list("line").alias("lines"))
+    counts = pages.select("site", "text").mapInArrow(_page_lines, "site string, line string").groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))
+    counts = keep(counts.join(size, "site").where(F.col("n") >= min(share, COMMON_SHARE) * F.col("pages")), "lines")
+    often = counts.where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))).select("site", "line", (F.col("n") >= HIGH_SHARE * F.col("pages")).alias("high"))
+    common = counts.where(F.col("n") >= COMMON_SHARE * F.col("pages")).groupBy("line").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= COMMON_SITES)
+    own = often.where("high").unionByName(often.where("NOT high").join(common, "line", "left_anti").select("site", "line", "high"))
+    return own.groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
 def body_lines(passages: DataFrame, keep: Callable[[DataFrame, str], DataFrame], id_: str = "id", site: str = "sample", title: str = "title", text: str = "text") -> DataFrame:
