@@ -95,6 +95,22 @@ def exact_top_k(queries: DataFrame, rows: DataFrame, key: str, vec: str, k: int,
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def all_distances(queries: DataFrame, rows: DataFrame, key: str, vec: str, block: int = BLOCK) -> DataFrame:
+    """(query, key, distance) of every query and row, for counts over whole tables: it is to be aggregated, not stored."""
+    q = _packed(queries, key, vec, block).toDF("qk", "qv")
+    r = _packed(rows, key, vec, block).toDF("rk", "rv")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for qk, qv, rk, rv in zip(*(b.column(i) for i in range(4))):
+                qk, qv, rk, rv = (x.values.to_numpy(zero_copy_only=False) for x in (qk, qv, rk, rv))
+                a, c = qv.reshape(len(qk), -1), rv.reshape(len(rk), -1)
+                d = np.round(1.0 - (a @ c.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(c, axis=1)), 9)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qk, len(rk))), pa.array(np.tile(rk, len(qk))), pa.array(d.ravel())], names=["query", "key", "distance"])
+
+    return r.crossJoin(q).select("qk", "qv", "rk", "rv").mapInArrow(meet, "query long, key long, distance double")
+
+
 def hashed_near(rows: DataFrame, query: list[float], vec: str, k: int, width: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
     """An approximate search by random projections, for comparison with the exact one: (id, distance)."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

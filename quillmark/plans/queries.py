@@ -218,6 +218,73 @@ def within_cutoff_by_topic(spark, sf):
     return _one_query(spark, sf).where(nearest.readable("readers", READERS) & (F.col("distance") < 1.0)).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The same for every chunk whose id is divisible by 20; the queries above ask for the smallest id only, as their SQL does.
+
+
+def _asked(c):
+    return c.where("id % 20 = 0").select("id", "embedding")
+
+
+def _near_all(c, rows, k):
+    near = nearest.exact_top_k(_asked(c), rows.select("id", "embedding"), "id", "embedding", k).withColumnRenamed("key", "id")
+    return near.join(c.select("id", "topic", "readers"), "id")
+
+
+def _out_all(df):
+    return df.select("query", "id", "topic", r6("distance").alias("distance"))
+
+
+def _first_readable(near, k):
+    w = Window.partitionBy("query").orderBy("distance", "id")
+    return near.where(nearest.readable("readers", READERS)).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+@query
+def permission_filtered_knn_all(spark, sf):
+    c = chunks(spark, sf)
+    return _out_all(_near_all(c, c.where(nearest.readable("readers", READERS)), 10))
+
+
+@query
+def knn_cutoff_inside_all(spark, sf):
+    """The cutoff is on the distance that orders the scan, so the first k within it are those of the first k that lie within."""
+    c = chunks(spark, sf)
+    return _out_all(_near_all(c, c.where(nearest.readable("readers", READERS)), 10).where(F.col("distance") < 0.9))
+
+
+@query
+def knn_cutoff_outside_all(spark, sf):
+    return knn_cutoff_inside_all(spark, sf)
+
+
+@query
+def knn_post_filter_budget_all(spark, sf):
+    c = chunks(spark, sf)
+    return _out_all(_first_readable(_near_all(c, c, 40), 10))
+
+
+@query
+def knn_scan_budgets_all(spark, sf):
+    c = chunks(spark, sf)
+    return _out_all(_first_readable(_near_all(c, c, min(20_000, 100)), 10))
+
+
+@query
+def first_visible_rank_all(spark, sf):
+    c = chunks(spark, sf)
+    best = durable(_near_all(c, c.where(nearest.readable("readers", ["mara"])), 1).select("query", F.col("id").alias("best"), F.col("distance").alias("least")), "visible")
+    met = nearest.all_distances(_asked(c), c.select("id", "embedding"), "id", "embedding").join(best, "query")
+    return met.where(F.struct("distance", "key") <= F.struct("least", "best")).groupBy("query").agg(F.count(F.lit(1)).alias("rank"))
+
+
+@query
+def within_cutoff_by_topic_all(spark, sf):
+    c = chunks(spark, sf)
+    may = c.where(nearest.readable("readers", READERS))
+    met = nearest.all_distances(_asked(c), may.select("id", "embedding"), "id", "embedding").where(F.col("distance") < 1.0)
+    return met.join(may.select(F.col("id").alias("key"), "topic"), "key").groupBy("query", "topic").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def knn_random_projections(spark, sf):
     c = chunks(spark, sf)
