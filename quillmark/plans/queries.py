@@ -706,15 +706,25 @@ def matched_title_words(spark, sf):
     return p.select("ord", F.array_join(w, " ").alias("matched"), (~F.arrays_overlap(tx.tokens(F.col("title")), tx.tokens(F.col("text")))).alias("disjoint"))
 
 
-@query
-def judge_prompts(spark, sf):
-    """The prompt of each question's first three keyword hits."""
-    p = passages(spark, sf).select(F.col("ord").alias("doc"), "title", "section", tx.seen_from_start(F.col("text"), 200).alias("text"))
-    l = ranked_lists(spark, sf).where("system = 'bm25' AND rank <= 3").select("query", "doc", "rank").join(p, "doc")
+def _prompts(spark, sf, candidates, chars):
+    p = passages(spark, sf).select(F.col("ord").alias("doc"), "title", "section", tx.seen_from_start(F.col("text"), chars).alias("text"))
+    l = ranked_lists(spark, sf).where((F.col("system") == "bm25") & (F.col("rank") <= candidates)).select("query", "doc", "rank").join(p, "doc")
     one = l.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "title", "section", "text"))).alias("c"))
     return one.select("query", F.md5(judging.judge_prompt(F.col("query"), F.col("c"))).alias("digest"), F.length(judging.judge_prompt(F.col("query"), F.col("c"))).alias("chars"))
 
 
+@query
+def judge_prompts(spark, sf):
+    """The prompt of each question's first three keyword hits, 200 characters each, as its SQL has it."""
+    return _prompts(spark, sf, 3, 200)
+
+
+@query
+def judge_prompts_all(spark, sf):
+    """The prompt of each question's 24 candidates, as judges read them."""
+    return _prompts(spark, sf, 24, judging.SNIPPET)
+
+
 @query
 def titles_nearest_median(spark, sf):
     """Plain titles, those of median length first."""

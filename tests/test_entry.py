@@ -67,3 +67,9 @@ WHOLE = {
 def test_searches_for_all_queries(spark, name):
     d = f"d AS (SELECT a.id AS query, b.id, b.topic, coalesce(b.readers, []) AS readers, round({COS.format(a='a.v', b='b.v')}, 9) AS distance FROM c a, c b WHERE a.id % 20 = 0)"
     _same(spark, name, f"WITH {CHUNKS}, {d} {WHOLE[name]}")
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_prompts_of_all_candidates(spark):
+    sql = ORACLE["judge_prompts"].replace("left(text, 200)", "left(text, 1200)").replace("rank <= 3", "rank <= 24")
+    _same(spark, "judge_prompts_all", sql)
