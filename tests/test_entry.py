@@ -73,3 +73,17 @@ def test_searches_for_all_queries(spark, name):
 def test_prompts_of_all_candidates(spark):
     sql = ORACLE["judge_prompts"].replace("left(text, 200)", "left(text, 1200)").replace("rank <= 3", "rank <= 24")
     _same(spark, "judge_prompts_all", sql)
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+def test_recall_of_random_projections(spark):
+    from quillmark.operators import nearest
+    from quillmark.plans.queries import chunks
+
+    c = chunks(spark, SMALL).select("id", "embedding").cache()
+    asked = c.where("id % 20 = 0").orderBy("id").limit(3)
+    exact = {}
+    for r in nearest.exact_top_k(asked, c, "id", "embedding", 10).collect():
+        exact.setdefault(r["query"], set()).add(r.key)
+    found = sum(len(exact[q.id] & {r.id for r in nearest.hashed_near(c, q.embedding, "embedding", 10).collect()}) for q in asked.collect())
+    assert len(exact) == 3 and found >= 0.9 * 30
