@@ -21,15 +21,15 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, vectors = _vectors(spark, sf_dir)
-    near = mih.nearest(chunks, 384, 5, durable).unionByName(mih.nearest(vectors, 64, 5, durable)).where("cos >= 0.85")
+    near = mih.nearest(chunks, 384, 5, durable, floor=0.85).unionByName(mih.nearest(vectors, 64, 5, durable, floor=0.85))
     return near.select(F.col("coll").alias("collection"), F.least("key", "other").alias("id_a"), F.greatest("key", "other").alias("id_b")).distinct()
 
 
 def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar vectors of every vector whose key is divisible by 20, among all vectors."""
-    exact = lambda df, width: mih.nearest_exact(df, df.where(F.col("key") % 20 == 0), width, 10, durable)
+    near = lambda df, width: mih.nearest(df, width, 10, durable, asked=df.where(F.col("key") % 20 == 0))
     chunks, vectors = _vectors(spark, sf_dir)
-    near = exact(chunks, 384).unionByName(exact(vectors, 64))
+    near = near(chunks, 384).unionByName(near(vectors, 64))
     return near.select(F.col("coll").alias("collection"), "key", "place", "other", F.round("cos", 6).alias("similarity"))
 
 

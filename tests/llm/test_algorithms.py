@@ -131,7 +131,7 @@ def test_sentences_left():
 def test_code_layout_and_learning():
     bits, tables = mih.layout(20_000)
     assert 8 <= bits <= 14 and tables > 8
-    assert mih.layout(1)[0] == 8
+    assert mih.layout(1)[0] == 6
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 16))
     codes = mih.learn(x / np.linalg.norm(x, axis=1, keepdims=True), 300)

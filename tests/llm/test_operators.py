@@ -39,7 +39,7 @@ def test_nearest_vectors(spark):
     items += [(1000 + i, items[3][1]) for i in range(9)]  # copies
     extra = [(2000, None), (2001, []), (2002, [0.0] * 32), (2003, [float("nan")] * 32), (2006, [float("inf")] * 32), (2004, [1.0] * 31), (2005, [None] + [1.0] * 31), (None, [1.0] * 32)]
     df = spark.createDataFrame([(k, v, 1, 2) for k, v in items + extra + items[:5]], "key long, vec array<float>, n int, bucket int")
-    found = mih.nearest(mih.usable(df, "key", "vec", 32, F.lit("c")), 32, 5, durable).where("cos >= 0.85")
+    found = mih.nearest(mih.usable(df, "key", "vec", 32, F.lit("c")), 32, 5, durable, floor=0.85)
     got = {(r.key, r.other) for r in found.collect()}
     want = {(k, o) for k, o, _ in nearest_brute([(k, np.array(v)) for k, v in items], 5)}
     assert got <= {(k, o) for k, o, _ in nearest_brute([(k, np.array(v)) for k, v in items], len(items))}
@@ -68,7 +68,7 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
     found = []
     for hot in (10_000, 10):
         monkeypatch.setattr(mih, "HOT", hot)
-        found.append({(r.a, r.b) for r in mih.similar_pairs(vectors, 48, durable).collect()})
+        found.append({(r.key, r.other) for r in mih.Index(vectors, 48, durable, mih.FULL).within().collect()})
     assert found[0] == found[1] and len(found[0]) > 10_000
 
 
@@ -94,6 +94,31 @@ def test_nearest_at_any_similarity(spark):
     assert mih.nearest_exact(vectors.limit(0), vectors, 32, 10, durable).count() == 0
 
 
+@pytest.mark.parametrize("part", [False, True])
+def test_nearest_without_a_floor(spark, monkeypatch, part):
+    """Every vector gets k neighbours, the true ones but for few, whether it lies in a crowd or by itself."""
+    rng = np.random.default_rng(19)
+    vecs = [v for c in range(30) for v in rng.standard_normal(24) + rng.standard_normal((12, 24)) * 0.3] + list(rng.standard_normal((240, 24)))
+    items = [(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(vecs)] + [(2000 + i, [float(x) for x in np.float32(vecs[3])]) for i in range(7)]
+    df = spark.createDataFrame([("c", *x) for x in items + items[:9]] + [("two", 1, items[0][1]), ("two", 2, items[1][1])], "c string, key long, vec array<float>")
+    monkeypatch.setattr(mih, "SCANNED", 0.9)
+    vectors = mih.usable(df, "key", "vec", 24, F.col("c"))
+    asked = vectors.where("key % 5 = 0") if part else None
+    got = defaultdict(list)
+    for r in mih.nearest(vectors, 24, 10, durable, asked=asked).orderBy("coll", "key", "place").collect():
+        got[(r.coll, r.key)].append(r.other)
+    keys = [k for k, _ in items if not part or k % 5 == 0]
+    x = np.array([v for _, v in items])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for i, (key, _) in enumerate(items):
+        if key in keys:
+            order = sorted((-round(min(1.0, float(x[i] @ x[j])), 9), o) for j, (o, _) in enumerate(items) if o != key)
+            hit += len({o for _, o in order[:10]} & set(got[("c", key)]))
+    assert {k: len(v) for k, v in got.items()} == {**{("c", k): 10 for k in keys}, **({} if part else {("two", 1): 1, ("two", 2): 1})}
+    assert hit >= 0.97 * 10 * len(keys)
+
+
 def test_nearest_query_gives_ten_neighbours(spark, tmp_path):
     from quillmark.llm.queries import p1_nearest
 
