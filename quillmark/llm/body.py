@@ -1,17 +1,23 @@
-"""Keeping the main body of pages: maximum-scoring runs of lines.
-
-Every line has a score: its words count for it, signs of page furniture against it. The weights come from lines labelled
-by hand (the fixed values below, in five languages) and from the pages themselves: a line that many pages of one site
-repeat, and other sites don't, is furniture of that site. One scan over the scores finds the maximal-scoring runs of
-lines, the ones that no longer or shorter run beats; they are the main body. A line labelled as furniture weighs more
-than all words of its page, so that furniture amid the body splits it instead of joining it.
+"""Keeping the main body of pages: maximum-scoring regions of lines.
+
+Words score for the body or against it, and so do the marks of a page's structure: bullets, separators, list headings, and
+how many pages of its site carry a line. The weights are log-odds fitted by logistic regression to labelled pages, the
+``labelled_pages.txt`` beside this module, and then once more with a bounded sample of the pages at hand, on which site-wide
+lines are labels too. A line scores the sum of its weights; one scan over the scores finds the regions no longer or shorter
+region beats. Furniture also stands amid bodies, so a region ends where the score has dropped by more than ``DROP`` below
+its best, and what follows may be a region of its own: doubtful lines between lines of the body stay, clear furniture
+splits it, and scraps among furniture that don't reach ``LEAST`` go.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,163 +25,269 @@ from pyspark.sql import types as T
 
 from quillmark.session import fits_broadcast
 
-# Labelled lines. Entries of menus and of footers.
-MENU = """
-Home, Forum, About, Topics, Docs, Guides, Search, Help, Downloads, Pricing, Archive, Sign in, Contact, Terms, Privacy, Imprint, Accessibility, Sitemap, News, Blog, Log in
-Start, Suche, Anmelden, Preise, Hilfe, Archiv, Kontakt, Themen, Forum, Über uns, Impressum, Datenschutz, AGB, Startseite
-Accueil, À propos, Archives, Sujets, Recherche, Connexion, Tarifs, Aide, Contact, Mentions légales, Confidentialité
-Inicio, Ayuda, Buscar, Temas, Precios, Archivo, Contacto, Acerca de, Entrar, Aviso legal, Privacidad
-存档, 联系我们, 专题, 论坛, 登录, 搜索, 帮助, 首页, 条款, 隐私, 联系, 关于我们, 价格
-"""
-# Lines that pages carry around the body, whole; # stands for a number, * for a name.
-FURNITURE = """
-Skip to main content; Jump to navigation; Toggle menu; Menu ▾; Back to top; All rights reserved.; Subscribe to our letter; Report a problem with this page; Made with care in *; Powered by * pages; Share this page; Print version; Advertisement; Next page »; « Previous page; Loading comments…; Log in to leave a reply; Was this page helpful? Yes / No; # readers liked this; Last edited # days ago by *
-Zum Inhalt springen; Navigation überspringen; Menü öffnen; Nach oben; Alle Rechte vorbehalten.; Rundbrief bestellen; Gestaltet in *; Seite teilen; Druckansicht; Anzeige; Zum Antworten anmelden; # Lesern gefällt das; War das hilfreich? Ja / Nein; Nächste Seite »
-Aller au contenu; Ouvrir le menu; Haut de page; Tous droits réservés.; Recevoir la lettre; Fait à *; Partager cette page; Version imprimable; Publicité; # lecteurs aiment; Cette page vous a-t-elle aidé ? Oui / Non; Page suivante »
-Saltar al contenido; Abrir menú; Volver arriba; Todos los derechos reservados.; Reciba el boletín; Hecho en *; Compartir esta página; Versión para imprimir; Publicidad; A # lectores les gusta; ¿Le sirvió esta página? Sí / No; Página siguiente »
-跳到正文; 打开菜单; 返回顶部; 版权所有。; 订阅通讯; 分享本页; 打印; 广告; #人点赞; 本页有帮助吗？是 / 否; 下一页 »
-"""
-# Headings of lists of other pages.
-LISTS = """
-Related pages; Popular tags; Latest posts; Most read this week; You may also like; In this section
-Neue Beiträge; Mehr zum Thema; Meistgelesen; In diesem Bereich; Ähnliche Seiten
-Pages voisines; Derniers billets; Les plus lus; Dans cette rubrique
-Páginas afines; Últimas entradas; Lo más leído; En esta sección
-相关页面; 最新文章; 本周热读; 本栏目
-"""
-# Beginnings of notices on cookies.
-NOTICES = """
-We use cookies; This site stores small files on your device; Our pages set cookies; Your privacy matters to us:
-Wir verwenden Cookies; Diese Seite speichert Daten auf Ihrem Gerät; Uns ist Ihre Privatsphäre wichtig:; Unsere Seiten setzen Cookies
-Nous utilisons des cookies; Ce site garde de petits fichiers sur votre appareil; Votre vie privée compte :; Nos pages posent des cookies
-Usamos cookies; Este sitio guarda pequeños archivos en su equipo; Su privacidad nos importa:; Nuestras páginas usan cookies
-本站使用Cookie; 我们会在您的设备上保存少量数据; 我们重视您的隐私
-"""
-
-#: A line is furniture of a site if so large a share of the site's pages carry it, and at least so many pages.
+#: A region ends where its score falls by more than this below its best; one of less than LEAST counts only if it is the
+#: page's best. Both in log-odds.
+DROP, LEAST = 1.0, 0.1
+#: A line is a repeated one of a site if so large a share of the site's pages carry it, and at least so many pages.
 SITE_SHARE, SITE_PAGES = 0.03, 3
 #: A line that so many sites carry, each on such a share of its pages, says nothing about one of them, unless so high a share
 #: of that one's pages carry it that it is furniture there.
 COMMON_SITES, COMMON_SHARE, HIGH_SHARE = 3, 0.01, 0.25
-
-_BULLET = re.compile(r"^(?:[-*•»›·–]|\d+[.)])\s+")
-_END = re.compile(r"[.!?。！？…:：;]['\")”»]?$")
+#: The sample that weights are fitted to besides the labelled pages: pages, lines of them, and marks of a line, at most.
+PAGES, LINES, MARKS = 4096, 40_000, 400
+#: What a repeated line of a site costs at least, and one of a high share of its pages, where the sample has few of them.
+SITE_COST = {"sign:site1": -4.0, "sign:site2": -8.0}
+#: Bytes of site-wide lines up to which they are broadcast; measured before.
+SITES_BYTES = 32 << 20
+#: How many lines of the sample one labelled line outweighs, and the scores by the first weights that label a line of it.
+WORTH, SURE_BODY, SURE_FURNITURE = 20.0, 1.0, -1.0
+#: Log-odds of a line of unknown words, weight of body lines against furniture in all, and of the penalty on squared weights.
+BIAS, PRIOR, RIDGE = 1.0, 1.0, 2e-5
+
+_SPACE = re.compile(r"[ \r ​]+")
+_BULLET = re.compile(r"^(?:[-*•»›·–▪]|\d+[.)])\s+")
+_PARTS = re.compile(r"\s*[|·•\t]\s*|\s+[>›»/→—–]\s+|(?<=[.!?])\s+|(?<=[。！？])")
+_TOKEN = re.compile(r"[^\W\d_]+|\d[\d.,]*|[©@#%…»«→←↑▾]")
 _WORD = re.compile(r"[^\W_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
-_COPYRIGHT = re.compile(r"^(?:©\s*(?:\d{4}|\w)|\(c\)\s.*\d{4})", re.I)
+_END = re.compile(r"[.!?。！？]['\")”»]?$")
 
 
-def _entries(text: str) -> list[str]:
-    return [x.strip() for line in text.strip().split("\n") for x in line.split(";") if x.strip()]
+def tidy(line: str) -> str:
+    """The line without outer white space, its inner white space (but tabs) as single spaces."""
+    return _SPACE.sub(" ", line).strip()
+
+
+def _tokens(text: str) -> list[str]:
+    out = []
+    for t in _TOKEN.findall(text.lower()):
+        if t[0].isdigit():
+            out.append("0")
+        elif _WIDE.match(t):
+            out += [t[i : i + 2] for i in range(max(1, len(t) - 1))]
+        else:
+            out.append(t)
+    return out
+
+
+def marks(line: str, title: str = "") -> list[str]:
+    """What a tidy line is judged by: its words and pairs of words, its short parts as wholes, and signs of structure."""
+    bare = _BULLET.sub("", line)
+    parts = [p for p in _PARTS.split(bare) if p]
+    out = set()
+    short = 0
+    for part in parts:
+        t = _tokens(part)
+        out.update(t)
+        if 0 < len(t) <= 8:
+            out.update(map(" ".join, zip(t, t[1:])))
+            out.update(("whole:" + " ".join(t), "first:" + t[0], "last:" + t[-1]))
+            short += len(t) <= 3 and "0" not in t
+    n = len(parts)
+    if title and line == title:
+        out.add("sign:title")
+    if n >= 3 and short == n:
+        out.add("sign:menu")
+    if n >= 2 and sum(p[:1].isdigit() for p in parts) * 2 >= n:
+        out.add("sign:table")
+    if n >= 2 and title and tidy(parts[-1]) == title:
+        out.add("sign:path")
+    if "(c)" in line.lower()[:4] and "0" in out:
+        out.add("©")
+    if ":" in line[:-1] and "0" in out and n <= 2 and not _END.search(line):
+        out.add("sign:value")
+    return list(out)
+
+
+class Weights:
+    """Log-odds of marks for the body; ``score`` sums them up."""
+
+    def __init__(self, bias: float, of: dict[str, float]):
+        self.bias, self.of = bias, of
+
+    def score(self, found: list[str]) -> float:
+        get = self.of.get
+        return self.bias + sum(get(m, 0.0) for m in found)
+
+
+def fit(lines: list[list[str]], body: np.ndarray, weight: np.ndarray, rounds: int = 250, least: int = 1) -> Weights:
+    """Logistic regression of ``body`` on the marks that at least ``least`` lines have, by accelerated descent. A line
+    without known marks has the odds BIAS."""
+    counts = Counter(m for found in lines for m in found)
+    names = sorted(m for m, c in counts.items() if c >= least)
+    number = {m: i for i, m in enumerate(names)}
+    row = np.array([i for i, found in enumerate(lines) for m in found if m in number], dtype=np.int64)
+    col = np.array([number[m] for found in lines for m in found if m in number], dtype=np.int64)
+    sizes = np.maximum(np.bincount(row, minlength=len(lines)), 1)
+    weight = weight * np.where(body, PRIOR / max((weight * body).sum(), 1e-9), 1 / max((weight * ~body).sum(), 1e-9))
+    weight = weight / weight.sum()
+    # A step that suits the steepest direction: marks by lines, weighted.
+    step = 4.0 / max(float((weight * sizes).sum()), 1.0)
+    w = ahead = np.zeros(len(names))
+    for i in range(rounds):
+        z = BIAS + np.bincount(row, ahead[col], minlength=len(lines))
+        slope = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - body)
+        new = ahead - step * (np.bincount(col, slope[row], minlength=len(names)) + RIDGE * ahead)
+        ahead = new + i / (i + 3) * (new - w)
+        w = new
+    return Weights(BIAS, {m: float(x) for m, x in zip(names, w) if abs(x) > 1e-3})
+
+
+def labelled_pages(text: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """(title, [(label, line)]) of pages in the form of ``labelled_pages.txt``: + body, - furniture, > furniture that heads
+    a list of other pages."""
+    pages: list[tuple[str, list[tuple[str, str]]]] = []
+    for line in text.split("\n"):
+        if line.startswith("== "):
+            pages.append((line.split(" | ", 1)[1], []))
+        elif line[:2] in ("+ ", "- ", "> "):
+            pages[-1][1].append((line[0], line[2:]))
+    return pages
+
+
+@functools.cache
+def _labelled() -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+    """(marks, whether body, whether heading) of the labelled lines; entries of a list of other pages are left out, as its
+    heading speaks for them."""
+    found, label = [], []
+    for title, lines in labelled_pages((Path(__file__).parent / "labelled_pages.txt").read_text(encoding="utf-8")):
+        for i, (kind, line) in enumerate(lines):
+            if kind != "-" or not _BULLET.match(line):
+                own = marks(tidy(line), title)
+                # The entries of a menu also stand in lines of their own.
+                alone = [p for p in _PARTS.split(line) if p] if kind == "-" and "sign:menu" in own else []
+                found += [own, *(marks(p, title) for p in alone)]
+                label += [kind] * (1 + len(alone))
+    label = np.array(label)
+    return found, label == "+", label == ">"
+
+
+@functools.cache
+def first_weights() -> tuple[Weights, Weights]:
+    """Weights from the labelled pages alone: of the body, and of list headings (below 0)."""
+    found, body, head = _labelled()
+    return fit(found, body, np.ones(len(body))), fit(found, ~head, np.ones(len(body)))
+
+
+def sample_labels(text: str, title: str | None, site: dict[str, int], first: Weights, heads: Weights) -> Iterator[tuple[bool, list[str]]]:
+    """(whether body, marks) of the lines of a page that can be told before the second fit.
+
+    Site-wide lines are furniture, and lines that the first weights are sure of are what those say; the entries of lists of
+    other pages are left out. Half of the site-wide lines come without the sign of it, so that their words are learned too.
+    """
+    lines = [tidy(x) for x in text.split("\n")]
+    entry = list_entries(lines, lambda line, found: first.score(found) < 0 and heads.score(found) < 0)
+    for line, listed in zip(lines, entry):
+        found = marks(line, tidy(title or "")) if line and not listed else []
+        if not 0 < len(found) <= MARKS:
+            continue
+        score = first.score(found)
+        if line in site:
+            yield False, found + ([f"sign:site{site[line]}"] if len(found) % 2 else [])
+        elif score > SURE_BODY or score < SURE_FURNITURE:
+            yield score > 0, found
 
 
-_MENU = {x.strip().casefold() for line in MENU.strip().split("\n") for x in line.split(",")}
-_FORMS = re.compile("|".join(re.escape(x).replace(r"\#", r"[\d.,]+").replace("#", r"[\d.,]+").replace(r"\*", r"\S+(?: \S+)?") for x in _entries(FURNITURE)), re.I)
-_LISTS = {x.casefold() for x in _entries(LISTS)}
-_NOTICES = tuple(x.casefold() for x in _entries(NOTICES))
+def second_weights(sample: list[tuple[bool, list[str]]]) -> Weights:
+    """Weights fitted to the labelled pages and to ``sample``, lines of the pages at hand."""
+    found, body, _ = _labelled()
+    label = np.concatenate([body, np.array([x for x, _ in sample], dtype=bool)])
+    weight = np.concatenate([np.full(len(body), WORTH), np.ones(len(sample))])
+    out = fit(found + [m for _, m in sample], label, weight, least=2)
+    for mark, most in SITE_COST.items():
+        out.of[mark] = min(out.of.get(mark, 0.0), most)
+    return out
 
 
-def tidy(line: str) -> str:
-    """The line without outer white space, its inner white space (but tabs) as single spaces."""
-    return re.sub(r"[ \r ​]+", " ", line).strip()
-
-
-def _menu_like(line: str) -> bool:
-    bare = _BULLET.sub("", line).casefold()
-    if bare in _MENU:
-        return True
-    parts = [p.strip().casefold() for p in re.split(r"[|·•\t]", line) if p.strip()]
-    if len(parts) >= 2 and sum(p in _MENU for p in parts) * 3 >= len(parts) * 2:
-        return True
-    path = re.split(r"\s[>›»/→]\s", line)
-    return len(path) >= 2 and path[0].strip().casefold() in _MENU
-
-
-def labelled(line: str, title: str = "") -> bool:
-    """Whether a tidy line is one of the labelled kinds of furniture."""
-    low = line.casefold()
-    if _FORMS.fullmatch(line) or _COPYRIGHT.match(line) or low.startswith(_NOTICES) or _menu_like(line):
-        return True
-    head, dash, rest = line.rpartition(" — ")
-    if dash and len(head) < 60 and (_FORMS.fullmatch(rest) or _menu_like(rest)):
-        return True
-    if low in _LISTS:
-        return True
-    head, colon, _ = low.partition(":" if ":" in low else "：")
-    if colon and head.strip() in _LISTS:
-        return True
-    path = re.split(r"\s[>›»/→]\s", line)
-    return len(path) >= 3 and bool(title) and path[-1].strip() == title and not line.startswith(">")
-
-
-def _words(line: str) -> float:
-    wide = len(_WIDE.findall(line))
-    return len(_WORD.findall(_WIDE.sub(" ", line))) + wide / 2
-
-
-def line_scores(lines: list[str], title: str, site: set[str]) -> list[float]:
-    """Scores of tidy lines. Words count 1 each; a labelled or site-wide line costs more than all words of the page.
-
-    Below the heading of a list of other pages the entries are furniture too: lines with the same bullet, or, without
-    bullets, lines that look like titles or teasers, up to the first that doesn't or is empty.
+def list_entries(lines: list[str], heading: Callable[[str, list[str]], bool], title: str = "") -> list[int]:
+    """For each tidy line the number, from 1, of the heading whose list it is an entry of, else 0.
+
+    Entries are lines with the same bullet, or, without bullets, lines that look like titles or teasers, up to the first
+    that doesn't or is empty.
     """
-    words = [_words(x) for x in lines]
-    cost = -(sum(words) + 1)
-    scores: list[float] = []
-    mark: str | None = None
-    for line, n in zip(lines, words):
+    out, mark, head = [], None, 0
+    for i, line in enumerate(lines):
         if not line:
-            scores.append(0.0)
-            if mark not in (None, "?"):
-                mark = None
-            continue
-        if line in site or labelled(line, title):
-            scores.append(cost)
-            mark = "?" if line.casefold() in _LISTS else None
+            mark = mark if mark == "?" else None
+            out.append(0)
             continue
-        if mark is not None:
-            bullet = _BULLET.match(line)
-            kind = bullet[0].strip()[-1] if bullet else ""
-            entry = (bool(bullet) and kind in "-*•»›·–") or (not bullet and (line.endswith("…") or (not _END.search(line) and n <= 12)))
+        bullet = _BULLET.match(line)
+        kind = bullet[0].strip()[-1] if bullet else ""
+        if not _END.search(line) and heading(line, marks(line, title)):
+            mark, head = "?", i + 1
+        elif mark is not None:
+            entry = (bool(bullet) and kind in "-*•»›·–▪") or (not bullet and (line.endswith("…") or (not _END.search(line) and line[-1:] not in ":：;" and len(_WORD.findall(line)) <= 12)))
             if entry and mark in ("?", kind):
                 mark = kind
-                scores.append(cost)
+                out.append(head)
                 continue
             mark = None
-        scores.append(max(n, 0.5))
+        out.append(0)
+    return out
+
+
+def line_scores(lines: list[str], title: str, site: dict[str, int], weights: Weights, heads: Weights) -> list[float]:
+    """Scores of tidy lines: above 0 for the body, below for furniture, 0 for empty ones. The entries of a list of other
+    pages cost what its heading costs."""
+    scores = []
+    for line in lines:
+        found = marks(line, title) if line else []
+        if line in site:
+            found.append(f"sign:site{site[line]}")
+        scores.append(weights.score(found) if line else 0.0)
+    own = dict(zip(lines, scores))
+    for i, head in enumerate(list_entries(lines, lambda line, found: own[line] < 0 and heads.score(found) < 0, title)):
+        if head:
+            scores[i] = min(scores[i], scores[head - 1])
+            continue
+        # A list in one line, after its heading.
+        first, colon, _ = lines[i].partition(":" if ":" in lines[i] else "：")
+        if colon and len(first) <= 40:
+            found = marks(first.strip(), title)
+            if heads.score(found) < 0:
+                scores[i] = min(scores[i], weights.score(found))
     return scores
 
 
-def best_runs(scores: list[float]) -> list[tuple[int, int]]:
-    """All maximal-scoring runs [start, end) in one linear scan with a stack of candidate runs."""
-    runs: list[tuple[int, int, float, float]] = []  # start, end, total before, total after
-    total = 0.0
-    for i, s in enumerate(scores):
-        before, total = total, total + s
-        if s <= 0:
+def best_runs(scores: list[float], drop: float = DROP, least: float = LEAST) -> list[tuple[int, int]]:
+    """The maximal-scoring regions [start, end), in one scan.
+
+    A region opens at a line above 0, ends at its highest total, and is closed when the total has dropped by more than
+    ``drop`` below that, or to 0; the scan goes on after its end. Regions of less than ``least`` are left out unless they are
+    the best of the page.
+    """
+    runs: list[tuple[int, int, float]] = []
+    i, n = 0, len(scores)
+    while i < n:
+        if scores[i] <= 0:
+            i += 1
             continue
-        start, left, right = i, before, total
-        while True:
-            j = next((j for j in range(len(runs) - 1, -1, -1) if runs[j][2] < left), None)
-            if j is None or runs[j][3] >= right:
-                runs.append((start, i + 1, left, right))
+        start = end = i
+        total = peak = 0.0
+        while i < n:
+            total += scores[i]
+            i += 1
+            if total >= peak and scores[i - 1] > 0:
+                peak, end = total, i
+            elif total <= 0 or peak - total > drop:
                 break
-            start, left = runs[j][0], runs[j][2]
-            del runs[j:]
-    return [(a, b) for a, b, _, _ in runs]
+        runs.append((start, end, peak))
+        i = end
+    best = max((p for _, _, p in runs), default=0.0)
+    return [(a, b) for a, b, p in runs if p >= least or p == best]
 
 
-def outside(text: str, title: str | None, site: set[str]) -> list[int]:
+def outside(text: str, title: str | None, site: dict[str, int], weights: Weights, heads: Weights) -> list[int]:
     """Numbers, from 0, of the lines outside the main body that hold more than white space."""
     lines = [tidy(x) for x in text.split("\n")]
     inside = [False] * len(lines)
-    for a, b in best_runs(line_scores(lines, tidy(title or ""), site)):
+    for a, b in best_runs(line_scores(lines, tidy(title or ""), site, weights, heads)):
         inside[a:b] = [True] * (b - a)
     return [i for i, x in enumerate(lines) if x and not inside[i]]
 
 
 def _page_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each line of a page once, if it isn't labelled already."""
+    """Each line of a page once."""
     for b in batches:
         sites, lines = [], []
         for site, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -186,20 +298,47 @@ def _page_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def site_lines(pages: DataFrame, keep: Callable[[DataFrame, str], DataFrame], share: float = SITE_SHARE, least: int = SITE_PAGES) -> DataFrame:
-    """(site, lines): the lines that at least ``share`` of a site's pages carry, and at least ``least`` pages.
+    """(site, lines): the lines that at least ``share`` of a site's pages carry, and at least ``least`` pages, as structs
+    (line, level), level 2 from HIGH_SHARE on.
 
     Lines that COMMON_SITES sites or more carry on COMMON_SHARE of their pages are left out where fewer than HIGH_SHARE of the
-    site's pages carry them: only shares tell, so that the same site comes out alike in a larger table. A page has so many lines on average, a site has at
-    most 1 / share times as many here, whatever its size.
+    site's pages carry them: only shares tell, so that the same site comes out alike in a larger table. A page has so many
+    lines on average, a site has at most 1 / share times as many here, whatever its size.
     """
     size = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
     size = F.broadcast(size) if fits_broadcast(size, 64) else size
     counts = pages.select("site", "text").mapInArrow(_page_lines, "site string, line string").groupBy("site", "line").agg(F.count(F.lit(1)).alias("n"))
     counts = keep(counts.join(size, "site").where(F.col("n") >= min(share, COMMON_SHARE) * F.col("pages")), "lines")
-    often = counts.where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))).select("site", "line", (F.col("n") >= HIGH_SHARE * F.col("pages")).alias("high"))
+    often = counts.where((F.col("n") >= least) & (F.col("n") >= share * F.col("pages"))).select("site", "line", F.when(F.col("n") >= HIGH_SHARE * F.col("pages"), 2).otherwise(1).alias("level"))
     common = counts.where(F.col("n") >= COMMON_SHARE * F.col("pages")).groupBy("line").agg(F.count(F.lit(1)).alias("s")).where(F.col("s") >= COMMON_SITES)
-    own = often.where("high").unionByName(often.where("NOT high").join(common, "line", "left_anti").select("site", "line", "high"))
-    return own.groupBy("site").agg(F.collect_list("line").alias("lines"))
+    own = often.where("level = 2").unionByName(often.where("level = 1").join(common, "line", "left_anti").select("site", "line", "level"))
+    return own.groupBy("site").agg(F.collect_list(F.struct("line", "level")).alias("lines"))
+
+
+def _levels(lines: list[dict] | None) -> dict[str, int]:
+    return {x["line"]: x["level"] for x in lines or ()}
+
+
+def learned(rows: DataFrame) -> tuple[Weights, Weights]:
+    """Weights for pages (id, title, text, lines), fitted to the labelled pages and to at most PAGES pages, LINES lines of
+    them; the sample is drawn by hash of the id, so that it stays the same however the rows are spread."""
+    first, heads = first_weights()
+    n = rows.count()
+    pick = F.pmod(F.xxhash64("id", "title"), F.lit(1 << 20)) < int(min(1.0, PAGES / max(n, 1)) * (1 << 20)) + 1
+    shared = rows.sparkSession.sparkContext.broadcast((first, heads))
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for title, text, lines in zip(*(b.column(i).to_pylist() for i in range(3))):
+                out += [(good, "\x1f".join(sorted(m))) for good, m in sample_labels(text, title, _levels(lines), *shared.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.bool_()), pa.array([m for _, m in out], pa.string())], names=["body", "marks"])
+
+    found = rows.where(pick).select("title", "text", "lines").mapInArrow(label, "body boolean, marks string")
+    # In an order of their own, so that a cut at LINES takes the same lines every time.
+    found = found.orderBy(F.xxhash64("marks"), "body").limit(LINES).toArrow()
+    sample = [(x, m.split("\x1f")) for x, m in zip(found.column(0).to_pylist(), found.column(1).to_pylist())]
+    return second_weights(sample), heads
 
 
 def body_lines(passages: DataFrame, keep: Callable[[DataFrame, str], DataFrame], id_: str = "id", site: str = "sample", title: str = "title", text: str = "text") -> DataFrame:
@@ -207,25 +346,29 @@ def body_lines(passages: DataFrame, keep: Callable[[DataFrame, str], DataFrame],
 
     Lines are split at every line feed and numbered from 0. Rows with one id count once (the smallest of differing
     texts), rows with a null id each on their own; a null text gives no row, an empty one an empty body. Pages without a
-    site count as one site. Each page is scanned alone; across pages only counts of lines are gathered.
+    site count as one site. Each page is scanned alone; across pages only counts of lines are gathered, and a sample for the
+    weights.
     """
     rows = passages.where(F.col(text).isNotNull()).select(F.col(id_).alias("id"), F.coalesce(F.col(site), F.lit("")).alias("site"), F.col(title).alias("title"), F.col(text).alias("text"))
     one = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("text", "title", "site")).alias("r")).select("id", "r.site", "r.title", "r.text")
     pages = keep(one.unionByName(rows.where(F.col("id").isNull())), "pages")
     known = keep(site_lines(pages, keep), "sites")
-    known = F.broadcast(known) if fits_broadcast(known, 16 << 10) else known
+    size = known.agg(F.coalesce(F.sum(F.aggregate("lines", F.lit(64).cast("long"), lambda a, x: a + 32 + 2 * F.length(x["line"]))), F.lit(0))).first()[0]
+    known = F.broadcast(known) if size <= SITES_BYTES else known
+    rows = pages.join(known, "site", "left").select("id", "title", "text", "lines")
+    shared = rows.sparkSession.sparkContext.broadcast(learned(rows))
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("body", T.StringType()), T.StructField("outside", T.ArrayType(T.IntegerType()))])
-    return pages.join(known, "site", "left").select("id", "title", "text", "lines").mapInArrow(_cut, schema)
-
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, texts, bodies, out = [], [], [], []
-        for id_, title, text, lines in zip(*(b.column(i).to_pylist() for i in range(4))):
-            numbers = outside(text, title, set(lines or ()))
-            drop = set(numbers)
-            ids.append(id_)
-            texts.append(text)
-            bodies.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop).strip())
-            out.append(numbers)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(bodies, pa.string()), pa.array(out, pa.list_(pa.int32()))], names=["id", "text", "body", "outside"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts, bodies, out = [], [], [], []
+            for id_, title, text, lines in zip(*(b.column(i).to_pylist() for i in range(4))):
+                numbers = outside(text, title, _levels(lines), *shared.value)
+                drop = set(numbers)
+                ids.append(id_)
+                texts.append(text)
+                bodies.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop).strip())
+                out.append(numbers)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string()), pa.array(bodies, pa.string()), pa.array(out, pa.list_(pa.int32()))], names=["id", "text", "body", "outside"])
+
+    return rows.mapInArrow(cut, schema)

@@ -1,6 +1,7 @@
 """Parts of the operators that need no Spark, against brute force."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,22 +11,114 @@ from hypothesis import strategies as st
 from quillmark.llm import body, mih, mix, pack, quantile, spans, split
 
 
-@given(st.lists(st.integers(-5, 5).map(float), max_size=12))
-def test_best_runs_hold_the_best_run(scores):
-    runs = body.best_runs(scores)
-    best = max([0.0] + [sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)])
-    assert max([0.0] + [sum(scores[a:b]) for a, b in runs]) == best
-    assert all(sum(scores[a:b]) > 0 for a, b in runs)
+@given(st.lists(st.integers(-5, 5).map(float), max_size=12), st.sampled_from([0.0, 1.0, 3.0, 1e9]))
+def test_best_runs_hold_the_best_run(scores, drop):
+    runs = body.best_runs(scores, drop, 0.0)
+    assert all(sum(scores[a:b]) > 0 and scores[a] > 0 and scores[b - 1] > 0 for a, b in runs)
     assert all(b <= c for (_, b), (c, _) in zip(runs, runs[1:]))
+    inside = {i for a, b in runs for i in range(a, b)}
+    assert {i for i, s in enumerate(scores) if s > 0} <= inside
+    assert all(scores[i] >= -drop for i in inside)
+    if drop > 1e6:
+        best = max([0.0] + [sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)])
+        assert max([0.0] + [sum(scores[a:b]) for a, b in runs]) == best
+
+
+def test_doubtful_lines_stay_between_body_lines_and_scraps_go():
+    assert body.best_runs([3, -0.5, 2, -4, 0.05, -4, 1], 1.0, 0.1) == [(0, 3), (6, 7)]
+    assert body.best_runs([-1, 0.05, -1], 1.0, 0.1) == [(1, 2)]
+    assert body.best_runs([]) == [] and body.best_runs([0.0, -1.0]) == []
+
+
+def outside(text, title=None, site=()):
+    return body.outside(text, title, dict.fromkeys(site, 2), body.second_weights([]), body.first_weights()[1])
 
 
 def test_furniture_amid_and_around_the_body():
     text = "Home | About | Docs\nHome > A > Title\n\nThe body says one thing.\nPrint version\nIt says another thing too.\nForms of it:\n- first\n- second\nRelated pages\n» One title\n» Another title\nOnly the body goes on.\n© 2024 Somebody. All rights reserved."
-    assert body.outside(text, "Title", set()) == [0, 1, 4, 9, 10, 11, 13]
-    assert body.outside("", None, set()) == []
-    assert body.outside("\r\n \t\n", None, set()) == []
-    assert body.outside("Copyright disputes around Orla ended.\nThe cookie jar test of Ibo compares 3 jars.\nRelated work by Ann skipped it.", None, set()) == []
-    assert body.outside("A line.\nAnn: A motto of the site.\nB line.", None, {"Ann: A motto of the site."}) == [1]
+    assert outside(text, "Title") == [0, 1, 4, 9, 10, 11, 13]
+    assert outside("") == [] and outside("\r\n \t\n") == []
+    assert outside("Copyright disputes around Orla ended.\nThe cookie jar test of Ibo compares 3 jars.\nThe work by Ann skipped it.") == []
+    assert outside("The first line.\nAnn: A motto of the site.\nB line.", None, ["Ann: A motto of the site."]) == [1]
+
+
+# Pages whose wordings are not those of the labelled pages: - furniture, + body.
+HELD_OUT = {
+'en':("Keeping bees in town","""-Skip to article
+-Home · Magazine · Podcasts · Search · Sign up
+-Manage cookie preferences | Accept cookies
++Keeping bees in town
++A hive on a roof needs shade at noon and water within 50 metres, or the bees will visit the neighbour's pool.
+-Share on Facebook
++Queens are marked with a dot of paint, blue in 2025 and white in 2026.
+-Sign up for our weekly newsletter
++The honey of a good summer weighs 30 kilos; in a poor one it is best to leave it all to the bees.
+-Popular articles
+-* Choosing a smoker
+-* Wax and what to do with it
+-Leave a comment
+-Comments (3)
+-© 2025 Roof Garden Press. Terms of service | Privacy policy"""),
+'de':("Brot ohne Hefe","""-Zum Hauptinhalt springen
+-Startseite | Rezepte | Suche | Anmelden
++Brot ohne Hefe
++Der Teig ruht zwei Tage im Kühlen, dann kommt er für 40 Minuten in den Ofen.
+-Artikel drucken
++Wer mag, mischt 100 g Nüsse darunter, aber erst nach der ersten Ruhe.
+-Verwandte Artikel
+-- Sauerteig pflegen
+-- Welches Mehl wofür
+-Kommentare (8)
+-Newsletter abonnieren
+-© 2024 Backstube Verlag. Datenschutz | Impressum"""),
+'fr':("Tailler un pommier","""-Aller au menu
+-Accueil | Jardin | Recherche | Connexion
++Tailler un pommier
++On taille en février, par temps sec, et l'on garde trois ou quatre branches autour du tronc.
+-Partager cet article
++Une branche qui monte tout droit ne donne pas de fruits : on la coupe à deux yeux.
+-Derniers billets du jardin
+-- Le compost
+-- Semer en mars
+-Inscription à la lettre
+-© 2023 Jardins. Tous droits réservés."""),
+'es':("Cuidar un olivo","""-Ir al contenido
+-Inicio | Huerto | Buscar | Entrar
++Cuidar un olivo
++El olivo quiere sol y poca agua; en invierno basta con regarlo cada tres semanas.
+-Imprimir
++Las hojas grises por debajo son normales, no una plaga.
+-Artículos más leídos
+-- Podar en marzo
+-- Aceitunas en sal
+-Suscríbase
+-© 2022 El Huerto. Aviso legal"""),
+'zh':("种兰花","""-跳到主要内容
+-首页 | 文章 | 搜索 | 登录
++种兰花
++兰花喜欢半阴，夏天每三天浇一次水，冬天少浇。
+-分享
++换盆要在花谢以后，土里加三成树皮。
+-热门文章
+-- 修剪月季
+-- 春天播种
+-订阅
+-© 2024 花园 版权所有"""),
+}
+
+
+def test_held_out_pages():
+    """At most one line in five of the furniture stays, and one line in ten of the bodies goes."""
+    kept = lost = furniture = good = 0
+    for title, page in HELD_OUT.values():
+        lines = page.split("\n")
+        out = set(body.outside("\n".join(x[1:] for x in lines), title, {}, *body.first_weights()))
+        for i, x in enumerate(lines):
+            kept, furniture = kept + (x[0] == "-" and i not in out), furniture + (x[0] == "-")
+            lost, good = lost + (x[0] == "+" and i in out), good + (x[0] == "+")
+    assert furniture > 40 and kept <= furniture / 5 and lost <= good / 10
+    known = {x for _, lines in body.labelled_pages((Path(body.__file__).parent / "labelled_pages.txt").read_text(encoding="utf-8")) for _, x in lines}
+    assert sum(x[1:] in known for _, page in HELD_OUT.values() for x in page.split("\n")) <= furniture / 5
 
 
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=3000), st.integers(0, 3))

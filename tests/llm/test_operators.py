@@ -157,7 +157,7 @@ def test_lines_shared_by_sites(spark):
     data += site("b", 40, {"Kept by the Plover platform": 40, "Overview of it": 6}) + site("c", 40, {"Kept by the Plover platform": 40, "Overview of it": 6})
     data += site("d", 900, {"Half of us say so": 3, "Rarely here": 3}) + site("e", 900, {"Half of us say so": 3, "Rarely here": 3}) + site("f", 60, {"Rarely here": 3})
     df = spark.createDataFrame(data, "id string, sample string, title string, text string")
-    found = {r.site: set(r.lines) for r in body.site_lines(df.select("id", F.col("sample").alias("site"), "text"), durable).collect()}
+    found = {r.site: {x.line for x in r.lines} for r in body.site_lines(df.select("id", F.col("sample").alias("site"), "text"), durable).collect()}
     assert found == {"a": {"Kept by the Plover platform", "Half of us say so"}, "b": {"Kept by the Plover platform"}, "c": {"Kept by the Plover platform"}, "f": {"Rarely here"}}
     out = {r.id: r.body for r in body.body_lines(df, durable).collect()}
     assert out["a0"] == "Overview of it\nPage 0 of a has words." and out["d0"].startswith("Half of us")
