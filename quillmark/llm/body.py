@@ -173,7 +173,8 @@ def sample_labels(text: str, title: str | None, site: dict[str, int], first: Wei
     """(whether body, marks) of the lines of a page that can be told before the second fit.
 
     Site-wide lines are furniture, and lines that the first weights are sure of are what those say; the entries of lists of
-    other pages are left out. Half of the site-wide lines come without the sign of it, so that their words are learned too.
+    other pages are left out. Site-wide lines carry the sign of it, which so explains them: what is furniture on one site may
+    be body on another.
     """
     lines = [tidy(x) for x in text.split("\n")]
     entry = list_entries(lines, lambda line, found: first.score(found) < 0 and heads.score(found) < 0)
@@ -183,7 +184,7 @@ def sample_labels(text: str, title: str | None, site: dict[str, int], first: Wei
             continue
         score = first.score(found)
         if line in site:
-            yield False, found + ([f"sign:site{site[line]}"] if len(found) % 2 else [])
+            yield False, [*found, f"sign:site{site[line]}"]
         elif score > SURE_BODY or score < SURE_FURNITURE:
             yield score > 0, found
 
