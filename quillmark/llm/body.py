@@ -59,14 +59,15 @@ def tidy(line: str) -> str:
 
 
 def _tokens(text: str) -> list[str]:
+    """Lower-case words, 0 for any number, some signs, and pairs of characters of scripts without spaces."""
     out = []
     for t in _TOKEN.findall(text.lower()):
-        if t[0].isdigit():
+        if "0" <= t[0] <= "9":
             out.append("0")
-        elif _WIDE.match(t):
-            out += [t[i : i + 2] for i in range(max(1, len(t) - 1))]
-        else:
+        elif t[0] < "⺀" or not _WIDE.match(t):
             out.append(t)
+        else:
+            out += [t[i : i + 2] for i in range(max(1, len(t) - 1))]
     return out
 
 
@@ -177,12 +178,12 @@ def sample_labels(text: str, title: str | None, site: dict[str, int], first: Wei
     be body on another.
     """
     lines = [tidy(x) for x in text.split("\n")]
-    entry = list_entries(lines, lambda line, found: first.score(found) < 0 and heads.score(found) < 0)
-    for line, listed in zip(lines, entry):
-        found = marks(line, tidy(title or "")) if line and not listed else []
-        if not 0 < len(found) <= MARKS:
+    every = [marks(x, tidy(title or "")) if x else [] for x in lines]
+    scores = [first.score(x) for x in every]
+    entry = list_entries(lines, [s < 0 and heads.score(x) < 0 for s, x in zip(scores, every)])
+    for line, found, score, listed in zip(lines, every, scores, entry):
+        if listed or not 0 < len(found) <= MARKS:
             continue
-        score = first.score(found)
         if line in site:
             yield False, [*found, f"sign:site{site[line]}"]
         elif score > SURE_BODY or score < SURE_FURNITURE:
@@ -200,8 +201,9 @@ def second_weights(sample: list[tuple[bool, list[str]]]) -> Weights:
     return out
 
 
-def list_entries(lines: list[str], heading: Callable[[str, list[str]], bool], title: str = "") -> list[int]:
-    """For each tidy line the number, from 1, of the heading whose list it is an entry of, else 0.
+def list_entries(lines: list[str], heading: list[bool]) -> list[int]:
+    """For each tidy line the number, from 1, of the heading whose list it is an entry of, else 0; ``heading`` tells the
+    lines that can be one.
 
     Entries are lines with the same bullet, or, without bullets, lines that look like titles or teasers, up to the first
     that doesn't or is empty.
@@ -214,7 +216,7 @@ def list_entries(lines: list[str], heading: Callable[[str, list[str]], bool], ti
             continue
         bullet = _BULLET.match(line)
         kind = bullet[0].strip()[-1] if bullet else ""
-        if not _END.search(line) and heading(line, marks(line, title)):
+        if heading[i] and not _END.search(line):
             mark, head = "?", i + 1
         elif mark is not None:
             entry = (bool(bullet) and kind in "-*•»›·–▪") or (not bullet and (line.endswith("…") or (not _END.search(line) and line[-1:] not in ":：;" and len(_WORD.findall(line)) <= 12)))
@@ -230,14 +232,14 @@ def list_entries(lines: list[str], heading: Callable[[str, list[str]], bool], ti
 def line_scores(lines: list[str], title: str, site: dict[str, int], weights: Weights, heads: Weights) -> list[float]:
     """Scores of tidy lines: above 0 for the body, below for furniture, 0 for empty ones. The entries of a list of other
     pages cost what its heading costs."""
-    scores = []
+    scores, can_head = [], []
     for line in lines:
         found = marks(line, title) if line else []
         if line in site:
             found.append(f"sign:site{site[line]}")
         scores.append(weights.score(found) if line else 0.0)
-    own = dict(zip(lines, scores))
-    for i, head in enumerate(list_entries(lines, lambda line, found: own[line] < 0 and heads.score(found) < 0, title)):
+        can_head.append(scores[-1] < 0 and heads.score(found) < 0)
+    for i, head in enumerate(list_entries(lines, can_head)):
         if head:
             scores[i] = min(scores[i], scores[head - 1])
             continue
