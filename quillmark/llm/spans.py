@@ -4,7 +4,9 @@ A shared span may start and end anywhere, so that it needn't hold several whole
 sentences would miss such spans. The runs hashed here are therefore cut where the text itself chooses: of every
 ``WINDOW`` consecutive runs of ``RUN`` code points the one with the smallest hash is taken. Texts that share a span of
 ``SPAN`` = WINDOW + RUN - 1 code points hold the same window of runs, take the same one from it, and so meet in the global
-join of hashes, whatever surrounds the span. Every meeting is then compared as text. Where a run repeats with an overlap,
+join of hashes, whatever surrounds the span. Every meeting of few texts is then compared as text; where many meet, as in a
+notice that thousands of texts hold, they are grouped by all runs of ``SPAN`` code points around the place instead, so that the
+work grows with the texts and not with their pairs. Where a run repeats with an overlap,
 its places in two texts needn't be aligned, so such a stretch is compared by all runs of ``SPAN`` code points around it.
 """
 
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 from quillmark.session import fits_broadcast
 
 SPAN, RUN = 200, 96
+#: Texts that meet in one hash beyond which they aren't compared pair by pair.
+HOT = 64
+#: Members of a group whose pairs are written in one block.
+BLOCK_ROWS = 1024
 #: Code points that are hashed at a time.
 BLOCK = 1 << 19
 # Fixed values of the rolling hash: an odd base, its inverse modulo 2**64, and a multiplier that mixes bits.
@@ -196,6 +202,32 @@ def _same(span: int):
     return same
 
 
+def _crowd_grams(span: int):
+    """(g, doc) of the runs of ``span`` code points around a meeting run."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            docs = b.column(0).to_numpy(zero_copy_only=False)
+            found = [span_hashes(x + y, span) if g is None else np.asarray(g) for x, y, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64()), pa.array(np.repeat(docs, [len(x) for x in found]), pa.int64())], names=["g", "doc"])
+
+    return grams
+
+
+def pairs_within(groups: DataFrame, group: str, item: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b), a < b: the pairs of items of one group. A group of many items is cut into parts by hash, and each two parts
+    meet in a block of their own, so that no task gets a whole large group."""
+    sizes = groups.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("_parts"))
+    cut = groups.join(sizes, group).select(F.col(group).alias("_g"), F.col(item).alias("_i"), "_parts", F.pmod(F.xxhash64(item), F.col("_parts")).cast("int").alias("_p"))
+    spread = cut.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    block = spread.select("_g", F.least("_p", "_o").alias("_x"), F.greatest("_p", "_o").alias("_y"), "_p", "_i")
+    a, b = block.alias("a"), block.alias("b")
+    apart = (F.col("a._x") == F.col("a._y")) | (F.col("a._p") != F.col("b._p"))
+    on = (F.col("a._g") == F.col("b._g")) & (F.col("a._x") == F.col("b._x")) & (F.col("a._y") == F.col("b._y")) & (F.col("a._i") < F.col("b._i")) & apart
+    return a.join(b, on).select(F.col("a._i").alias("a"), F.col("b._i").alias("b"))
+
+
 class SharedSpans:
     """Spans of at least ``span`` code points that stand in more than one text.
 
@@ -220,7 +252,9 @@ class SharedSpans:
         several = runs.groupBy("h").agg(F.min("doc").alias("_a"), F.max("doc").alias("_b")).where("_a < _b").select("h")
         meeting = keep(runs.join(self._small(several, 32), "h"), "meeting")
         places = meeting.groupBy("doc").agg(F.collect_list(F.struct("h", "place", "last")).alias("runs"))
-        self.met = self.reps.join(self._small(places, 400), "doc").select("doc", "text", "runs")
+        # A run takes 40 bytes, a text with runs as many again, and has one run at least.
+        self.met = self.reps.join(F.broadcast(places) if fits_broadcast(meeting, 80) else places, "doc").select("doc", "text", "runs")
+        self.meeting = meeting
         #: (h, doc, place, left, right, grams) of the runs that occur in two texts or more.
         self.meetings = self.met.mapInArrow(_around(span, run), "h long, doc long, place int, left string, right string, grams array<long>")
 
@@ -228,19 +262,43 @@ class SharedSpans:
     def _small(df: DataFrame, row_bytes: int) -> DataFrame:
         return F.broadcast(df) if fits_broadcast(df, row_bytes) else df
 
-    def pairs(self) -> DataFrame:
-        """(doc_a, doc_b), doc_a < doc_b: every pair of documents whose texts share a span."""
+    def _crowds(self, around: DataFrame, hot: DataFrame) -> DataFrame:
+        """(crowd, doc): texts that meet in the hashes ``hot``; those of one crowd share a run of ``span`` code points, and
+        any two that share one around such a hash are in a crowd together. Equal crowds come once."""
+        grams = around.join(hot, "h", "left_semi").select("doc", "left", "right", "grams").mapInArrow(_crowd_grams(self.span), "g long, doc long").distinct()
+        grams = self.keep(grams, "crowds")
+        same = [F.count(F.lit(1)).alias("n"), F.min("doc").alias("a"), F.max("doc").alias("z"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.hash("doc")).alias("y")]
+        one = grams.groupBy("g").agg(*same).where("n > 1").groupBy("n", "a", "z", "x", "y").agg(F.min("g").alias("g")).select("g")
+        return grams.join(self._small(one, 16), "g").select(F.col("g").alias("crowd"), "doc")
+
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """(a, b) and (crowd, doc): what texts share, without the pairs of large groups.
+
+        The pairs are of texts, one for each set of exact copies (``copies`` has the sets), that meet with few others;
+        the texts of a crowd all share a span with each other.
+        """
         m = self.keep(self.meetings, "around")
-        a, b = m.alias("a"), m.alias("b")
+        hot = self.keep(self.meeting.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("h"), "hot")
+        cold = m
+        crowds = self.docs.sparkSession.createDataFrame([], "crowd long, doc long")
+        if not hot.isEmpty():
+            hot = self._small(hot, 16)
+            cold = m.join(hot, "h", "left_anti")
+            crowds = self._crowds(m, hot)
+        a, b = cold.alias("a"), cold.alias("b")
         met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.doc") < F.col("b.doc")))
         met = met.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"), *(F.col(f"{s}.{c}").alias(c[0] + s) for s in "ab" for c in ("left", "right", "grams")))
-        linked = met.mapInArrow(_same(self.span), "a long, b long").distinct()
+        return met.mapInArrow(_same(self.span), "a long, b long"), crowds
+
+    def pairs(self) -> DataFrame:
+        """(doc_a, doc_b), doc_a < doc_b: every pair of documents whose texts share a span. Crowds and copies are expanded
+        last, in blocks of bounded size."""
+        few, crowds = self.links()
+        linked = few.unionByName(pairs_within(crowds, "crowd", "doc")).distinct()
         wide = linked.join(self.copies.select(F.col("rep").alias("a"), F.col("doc").alias("da")), "a", "left").join(self.copies.select(F.col("rep").alias("b"), F.col("doc").alias("db")), "b", "left")
         x, y = F.coalesce("da", "a"), F.coalesce("db", "b")
         between = wide.select(F.least(x, y).alias("doc_a"), F.greatest(x, y).alias("doc_b"))
-        c, d = self.copies.alias("c"), self.copies.alias("d")
-        within = c.join(d, (F.col("c.rep") == F.col("d.rep")) & (F.col("c.doc") < F.col("d.doc"))).select(F.col("c.doc").alias("doc_a"), F.col("d.doc").alias("doc_b"))
-        return between.unionByName(within)
+        return between.unionByName(pairs_within(self.copies, "rep", "doc").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")))
 
     def stretches(self) -> DataFrame:
         """(doc, start, end, first): the parts of each text that stand in another text too, as [start, end).

@@ -392,6 +392,22 @@ def shared_brute(texts, span):
     return pairs, covered
 
 
+def test_a_notice_in_thousands_of_texts(spark, monkeypatch):
+    """A span that most texts hold gives all pairs of them, of exact copies too, and none with texts that hold less of it."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    notice, ruler = word(230), "-=" * 130
+    data = [(i, word(rng.randrange(150)) + notice + word(rng.randrange(150))) for i in range(1500)]
+    data += [(2000 + i, word(40) + notice[:199] + "Z" + word(300)) for i in range(100)] + [(3000 + i, word(30 + i) + ruler + word(90)) for i in range(100)] + [(4000, data[7][1])]
+    monkeypatch.setattr(spans, "BLOCK_ROWS", 100)
+    found = spans.SharedSpans(spark.createDataFrame(data, "doc long, text string"), durable)
+    _, crowds = found.links()
+    assert crowds.groupBy("crowd").count().where("count = 1500").count() >= 1
+    got = {tuple(r) for r in found.pairs().collect()}
+    many, rulers = [*range(1500), 4000], range(3000, 3100)
+    assert got == {*itertools.combinations(many, 2), *itertools.combinations(rulers, 2)}
+
+
 def test_shared_spans(spark):
     rng = random.Random(11)
     word = lambda n, letters="abcdefghij .\n": "".join(rng.choice(letters) for _ in range(n))
