@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.scores import score_bin
-from quillmark.session import fits_broadcast
+from quillmark.session import durable, fits_broadcast
 
 #: Items of a list beyond which its query's lists are worked on by many tasks.
 LONG = 20_000
@@ -74,11 +74,20 @@ def leximin_rank(vectors: DataFrame, top: int | None = None) -> DataFrame:
     """(query_id, ord, weakest, place): items of each query by leximin, place 1 first; ties by smaller ord.
 
     ``top=1`` is a plain maximum with partial aggregation; other ``top`` keep the first places, cut per task before rows
-    meet. Without ``top`` the whole order of a query is written by one window.
+    meet. Without ``top`` items are range-sorted into tasks by query and vector, and a place is the place in the task after
+    those of the query in earlier tasks, so that a query of any length is ranked by many tasks.
     """
     if top == 1:
         best = vectors.groupBy("query_id").agg(F.max(F.struct("weakest", (-F.col("ord").cast("long")).alias("o"))).alias("b"))
         return best.select("query_id", (-F.col("b.o")).cast("int").alias("ord"), F.col("b.weakest").alias("weakest"), F.lit(1).alias("place"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("weakest"), F.asc("ord"))
-    out = vectors.withColumn("place", F.row_number().over(w))
-    return out.where(F.col("place") <= top) if top else out
+    if top:
+        w = Window.partitionBy("query_id").orderBy(F.desc("weakest"), F.asc("ord"))
+        return vectors.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = vectors.repartitionByRange(tasks, F.asc("query_id"), F.desc("weakest"), F.asc("ord")).withColumn("_task", F.spark_partition_id())
+    spread = durable(spread, "leximin")
+    before = Window.partitionBy("query_id").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spread.groupBy("query_id", "_task").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("query_id", "_task").orderBy(F.desc("weakest"), F.asc("ord"))
+    placed = spread.withColumn("_row", F.row_number().over(inside)).join(starts, ["query_id", "_task"])
+    return placed.select("query_id", "ord", "weakest", (F.col("_before") + F.col("_row")).cast("int").alias("place"))

@@ -107,4 +107,62 @@ SELECT DISTINCT id, CASE WHEN regexp_matches(text, '[^\\n .!?。！？]{1000}[^\
 FROM passages WHERE length(text) > 1200
 """
 
-ORACLE: dict[str, str] = {"p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_cutoffs": P6_CUTOFFS, "p7_found": P7}
+P3_BOUNDS = f"""
+WITH {P3[P3.index("good AS") : P3.index("truth AS")]}
+counts AS (SELECT machine, ranker, span, since, count(*) AS n FROM spans GROUP BY ALL)
+SELECT machine, ranker, span, since, unnest(['p50', 'p95']) AS stat, n, true AS inside FROM counts
+"""
+
+P5_RANKING = f"""
+{LEXIMIN}
+SELECT query_id, ord, round(weakest[1], 9) AS weakest,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY weakest DESC, ord) AS INTEGER) AS place
+FROM vectors
+"""
+
+P1_NEAREST = """
+WITH rows_ AS (
+  SELECT DISTINCT 'chunks' AS collection, CAST(id AS BIGINT) AS key, embedding AS v, 384 AS width FROM chunks
+  UNION SELECT DISTINCT set_name, CAST(ord AS BIGINT), vec, 64 FROM vectors
+),
+good AS (
+  SELECT collection, key, CAST(v AS DOUBLE[]) AS v FROM rows_
+  WHERE v IS NOT NULL AND len(v) = width AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+),
+pairs AS (
+  SELECT a.collection, a.key, b.key AS other, round(list_cosine_similarity(a.v, b.v), 9) AS cos
+  FROM good a JOIN good b ON a.collection = b.collection AND a.key <> b.key WHERE a.key % 20 = 0
+),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY collection, key ORDER BY cos DESC, other) AS INTEGER) AS place FROM pairs)
+SELECT collection, key, place, other, round(cos, 6) AS similarity FROM placed WHERE place <= 10
+"""
+
+# Texts are cut into blocks first, as finding a place in a long text takes time in proportion to the place.
+GRAMS = """
+docs AS (SELECT doc_id, min(text) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id),
+blocks AS (
+  SELECT doc_id, start, substr(text, start + 1, 1199) AS block
+  FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 199, 0), 1000)) AS start FROM docs)
+),
+grams AS (
+  SELECT doc_id, start + i AS place, md5(substr(block, CAST(i AS INTEGER) + 1, 200)) AS g
+  FROM (SELECT doc_id, start, block, unnest(range(0, length(block) - 199)) AS i FROM blocks)
+),
+shared AS (SELECT g FROM grams GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+held AS (SELECT doc_id, place, g FROM grams JOIN shared USING (g))
+"""
+
+P10 = f"""
+WITH {GRAMS}, one AS (SELECT DISTINCT doc_id, g FROM held)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id
+"""
+
+P10_COVERAGE = f"""
+WITH {GRAMS},
+steps AS (SELECT doc_id, least(200, place - lag(place, 1, -200) OVER (PARTITION BY doc_id ORDER BY place)) AS new FROM held),
+per AS (SELECT doc_id, CAST(sum(new) AS BIGINT) AS shared FROM steps GROUP BY doc_id)
+SELECT d.doc_id, length(d.text) AS length, coalesce(shared, 0) AS shared, CASE WHEN length(d.text) > 0 THEN coalesce(shared, 0) / length(d.text) ELSE 0.0 END AS share
+FROM documents d LEFT JOIN per ON per.doc_id = d.doc_id
+"""
+
+ORACLE: dict[str, str] = {"p1_nearest": P1_NEAREST, "p3_bounds": P3_BOUNDS, "p5_ranking": P5_RANKING, "p10_found": P10, "p10_coverage": P10_COVERAGE, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p6_cutoffs": P6_CUTOFFS, "p7_found": P7}

@@ -9,6 +9,7 @@ rank by w at most; ``err`` adds these bounds up. Up to ``k`` values a sketch is
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmark.operators.stats import order_statistics
+
 K = 2048
 #: Rows that a task turns into sketches at a time.
 CHUNK = 1 << 18
-#: Tasks whose sketches meet in one step of the merge tree.
-FAN_IN = 64
+#: Tasks whose sketches meet in one step of the merge tree, and its steps: enough for FAN_IN ** STEPS tasks.
+FAN_IN, STEPS = 64, 3
+#: Values a task holds in its sketches before it hands them on.
+HELD = 1 << 23
 
 SKETCH = [
     T.StructField("n", T.LongType()),
@@ -67,29 +72,44 @@ def _cells(n: int, err: int, buffers: list[tuple[int, np.ndarray]]) -> tuple:
 
 
 def _build(keys: list[str], value: str, k: int):
+    """One sketch per group and task, or more where a task meets so many groups that it can't hold them."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        waiting, rows = [], 0
+        held: dict[tuple, tuple] = {}
+        types: list[pa.Field] = []
 
-        def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
+        def take_in() -> None:
+            t = pa.Table.from_batches(waiting)
             lists = t.group_by(keys, use_threads=False).aggregate([(value, "list")]).combine_chunks()
-            cells = []
-            for v in lists.column(f"{value}_list").combine_chunks():
+            for key, v in zip(zip(*(lists.column(c).to_pylist() for c in keys)), lists.column(f"{value}_list").combine_chunks()):
                 x = np.sort(v.values.to_numpy(zero_copy_only=False))
-                cells.append(_cells(len(x), *collapse([(1, x[i : i + k - 1]) for i in range(0, len(x), k - 1)] if len(x) >= k else [(1, x)], k)))
-            schema = _schema([t.schema.field(c) for c in keys])
-            data = [lists.column(c).combine_chunks() for c in keys] + [pa.array(c, f.type) for c, f in zip(zip(*cells), list(schema)[len(keys) :])]
-            return pa.RecordBatch.from_arrays(data, schema=schema)
+                new = [(1, x[i : i + k - 1]) for i in range(0, len(x), k - 1)]
+                n, err, old = held.get(key, (0, 0, []))
+                held[key] = (n + len(x), *collapse(old + new, k, err))
+
+        def hand_on() -> pa.RecordBatch:
+            schema = _schema(types)
+            cells = [_cells(*x) for x in held.values()]
+            data = [*zip(*held), *zip(*cells)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(data, schema)], schema=schema)
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                rows += batch.num_rows
+            if not batch.num_rows:
+                continue
+            types = [batch.schema.field(c) for c in keys]
+            waiting.append(batch)
+            rows += batch.num_rows
             if rows >= CHUNK:
-                yield flush()
-                held, rows = [], 0
+                take_in()
+                waiting, rows = [], 0
+                if sum(len(v) for _, _, buffers in held.values() for _, v in buffers) > HELD:
+                    yield hand_on()
+                    held.clear()
+        if waiting:
+            take_in()
         if held:
-            yield flush()
+            yield hand_on()
 
     return build
 
@@ -114,12 +134,14 @@ def sketch(df: DataFrame, keys: list[str], value: str, k: int = K) -> DataFrame:
 
     Null and NaN values are left out; a null key is a key; a group without values gives no row; repeated rows count as
     often as they occur. Every task sketches its own rows first, so that of a group of any size only buffers move; they
-    meet in a tree of ``FAN_IN`` tasks a step.
+    meet in a tree, at most ``FAN_IN`` tasks' sketches of a group in a node but the last.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     parts = rows.mapInArrow(_build(keys, "_v", k), _fields(df, keys))
-    parts = parts.withColumn("_step", F.floor(F.spark_partition_id() / FAN_IN).cast("int"))
-    return merge_sketches(merge_sketches(parts, [*keys, "_step"], k), keys, k)
+    for step in range(1, STEPS):
+        parts = parts.withColumn("_node", F.floor(F.spark_partition_id() / FAN_IN).cast("int")) if step == 1 else parts.withColumn("_node", F.floor(F.col("_node") / FAN_IN).cast("int"))
+        parts = merge_sketches(parts, [*keys, "_node"], k)
+    return merge_sketches(parts, keys, k)
 
 
 def merge_sketches(sketches: DataFrame, keys: list[str], k: int = K) -> DataFrame:
@@ -212,18 +234,19 @@ def wrong_figures(calls: DataFrame, summaries: DataFrame, k: int = K, keep=lambd
 
 
 def _exactly(rows: DataFrame, figures: DataFrame, key: list[str]) -> DataFrame:
-    """Adds ``exact``, the true percentile, by counting the values between the bounds of the figures' sketches."""
-    p = F.when(F.col("stat") == "p50", 0.5).otherwise(0.95)
+    """Adds ``exact``, the true percentile, to the figures: order statistics by counts in bins, over their groups' rows."""
+    group = [*WHO, "span", "since"]
     spans = rows.withColumn("span", F.lit("day")).unionByName(rows.select(*WHO, F.to_date(F.date_trunc("week", "since")).alias("since"), "ms", F.lit("week").alias("span")))
-    near = figures.alias("f").join(spans.alias("r"), F.col("f.machine").eqNullSafe(F.col("r.machine")) & F.col("f.ranker").eqNullSafe(F.col("r.ranker")) & (F.col("f.span") == F.col("r.span")) & (F.col("f.since") == F.col("r.since")) & (F.col("r.ms") <= F.col("f.high")))
-    value = F.when(F.col("r.ms") >= F.col("f.low"), F.col("r.ms"))
-    counts = near.groupBy(*[F.col(f"f.{c}") for c in [*key, "figure", "n"]], value.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    lists = counts.groupBy(*key, "figure", "n").agg(F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("below"), F.sort_array(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "c")))).alias("vs"))
-    rank = (F.col("n") - 1) * p
-
-    def order(r):  # the value whose places, after those below, hold place r
-        walk = F.aggregate("vs", F.struct(F.col("below").alias("upto"), F.lit(None).cast("double").alias("v")), lambda acc, x: F.when(acc["v"].isNotNull(), acc).otherwise(F.struct((acc["upto"] + x["c"]).alias("upto"), F.when(acc["upto"] + x["c"] > r, x["v"]).alias("v"))))
-        return walk["v"]
-
-    a, b = order(F.floor(rank)), order(F.ceil(rank))
-    return lists.withColumn("exact", a + (b - a) * (rank - F.floor(rank)))
+    # Null machines and rankers are groups too.
+    same = lambda a, b, names: functools.reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names))
+    asked = figures.select(*group).distinct()
+    mine = spans.alias("r").join(asked.alias("f"), same("r", "f", group), "left_semi")
+    exact = order_statistics(mine, group, "ms", PROBS)
+    return figures.alias("f").join(exact.alias("q"), same("f", "q", key)).select("f.*", F.col("q.value").alias("exact"))
+
+
+def outside_bounds(calls: DataFrame, found: DataFrame) -> DataFrame:
+    """(machine, ranker, span, since, stat, n, inside): whether each percentile of ``quantiles`` over ``latencies`` has the
+    true one within its bounds."""
+    key = [*WHO, "span", "since", "stat"]
+    return _exactly(latencies(calls), found, key).select(*key, "n", F.col("exact").between(F.col("low") - 1e-9, F.col("high") + 1e-9).alias("inside"))

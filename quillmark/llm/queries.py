@@ -51,6 +51,11 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantile.quantiles(quantile.by_span(days), [*quantile.WHO, "span", "since"], quantile.PROBS)
 
 
+def p3_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the true percentile lies within the bounds of each sketched one."""
+    return quantile.outside_bounds(table(spark, sf_dir, "calls"), p3_percentiles(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scores.system_scores(table(spark, sf_dir, "hits"), table(spark, sf_dir, "ranked"))
     return topn.top_n(rows, ["system", "query_id"], "score", "ord", 10, durable).select("system", "query_id", "place", "ord")
@@ -66,7 +71,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leximin.leximin_rank(_leximin(spark, sf_dir))
+    return leximin.leximin_rank(_leximin(spark, sf_dir)).select("query_id", "ord", F.round(F.col("weakest")[0], 9).alias("weakest"), "place")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

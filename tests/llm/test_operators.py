@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,6 +183,21 @@ def test_sketches_merge_and_bound(spark):
     assert quantile.sketch(df.limit(0), ["g"], "v").count() == 0
 
 
+def test_sketches_of_groups_far_above_their_size(spark, monkeypatch):
+    """Merged over three steps of a tree, the estimate is within the error it states, and that is small."""
+    monkeypatch.setattr(quantile, "FAN_IN", 4)
+    monkeypatch.setattr(quantile, "CHUNK", 5_000)
+    monkeypatch.setattr(quantile, "HELD", 2_000)
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.lognormal(3, 2, 150_000), np.full(50_000, 30.0)])
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "v": values})).repartition(24)
+    got = {r.stat: r for r in quantile.quantiles(quantile.sketch(df, ["g"], "v", 64), ["g"], {"p05": 0.05, "p50": 0.5, "p95": 0.95}).collect()}
+    for stat, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95)):
+        r = got[stat]
+        assert r.n == 200_000 and r.low <= np.quantile(values, p) <= r.high
+        assert (values < r.est).mean() - 0.05 < p < (values <= r.est).mean() + 0.05
+
+
 def test_wrong_figures(spark):
     day = dt.datetime(2026, 3, 3, 12)
     calls = [(i, "m", "r", float(v), day + dt.timedelta(days=i % 2)) for i, v in enumerate(random.Random(1).choices(range(1, 2000), k=400))]
@@ -267,6 +283,19 @@ def test_leximin(spark, long):
     assert leximin.leximin_rank(leximin.leximin_vectors(pairs.limit(0), scores.list_sizes(h, r), 4), 1).count() == 0
 
 
+def test_one_long_query_is_ranked_by_many_tasks(spark):
+    rng = random.Random(8)
+    data = [("q", i, [rng.randrange(4) / 4, rng.randrange(9) / 4]) for i in range(3000)] + [("r", 5, [0.0, 1.0]), ("r", 4, [0.0, 1.0])]
+    df = spark.createDataFrame(data, "query_id string, ord int, weakest array<double>")
+    got = {(r.query_id, r.ord): r.place for r in leximin.leximin_rank(df).collect()}
+    want = {}
+    for q in "qr":
+        for place, (_, o, _) in enumerate(sorted((d for d in data if d[0] == q), key=lambda d: ([-x for x in d[2]], d[1])), 1):
+            want[(q, o)] = place
+    assert got == want
+    assert leximin.leximin_rank(df.limit(0)).count() == 0
+
+
 # --- 6 ---
 
 
@@ -398,14 +427,14 @@ def test_a_notice_in_thousands_of_texts(spark, monkeypatch):
     word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     notice, ruler = word(230), "-=" * 130
     data = [(i, word(rng.randrange(150)) + notice + word(rng.randrange(150))) for i in range(1500)]
-    data += [(2000 + i, word(40) + notice[:199] + "Z" + word(300)) for i in range(100)] + [(3000 + i, word(30 + i) + ruler + word(90)) for i in range(100)] + [(4000, data[7][1])]
+    data += [(2000 + i, word(40) + "Q" + notice[:199] + "Z" + word(300)) for i in range(100)] + [(3000 + i, word(30 + i) + ruler + word(90)) for i in range(100)] + [(4000, data[7][1])]
     monkeypatch.setattr(spans, "BLOCK_ROWS", 100)
     found = spans.SharedSpans(spark.createDataFrame(data, "doc long, text string"), durable)
     _, crowds = found.links()
     assert crowds.groupBy("crowd").count().where("count = 1500").count() >= 1
     got = {tuple(r) for r in found.pairs().collect()}
-    many, rulers = [*range(1500), 4000], range(3000, 3100)
-    assert got == {*itertools.combinations(many, 2), *itertools.combinations(rulers, 2)}
+    many, less, rulers = [*range(1500), 4000], range(2000, 2100), range(3000, 3100)  # "Q", 199 and "Z" are 201
+    assert got == {*itertools.combinations(many, 2), *itertools.combinations(less, 2), *itertools.combinations(rulers, 2)}
 
 
 def test_shared_spans(spark):
