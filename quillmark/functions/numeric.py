@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +45,15 @@ def uniform(draw: Column, seed: int = 7) -> Column:
     return t.bitwiseXOR(F.shiftrightunsigned(t, 14)).cast("double") / F.lit(4294967296.0)
 
 
+def uniform_array(draws: np.ndarray, seed: int) -> np.ndarray:
+    """The same draws for whole arrays of numbers at once."""
+    mask = np.uint64(MASK)
+    a = (np.uint64(seed & MASK) + (draws.astype(np.uint64) + np.uint64(1)) * np.uint64(STEP)) & mask
+    t = ((a ^ a >> np.uint64(15)) * (a | np.uint64(1))) & mask
+    t ^= (t + (((t ^ t >> np.uint64(7)) * (t | np.uint64(61))) & mask)) & mask
+    return (t ^ t >> np.uint64(14)) / 4294967296.0
+
+
 def uniforms(seed: int):
     """The same stream as a Python generator, for steps that depend on the ones before."""
     a = seed & MASK

@@ -115,6 +115,10 @@ class HashedEmbedder:
         return (out / np.where(n == 0, 1, n)).tolist()
 
 
+# Fixed value: seconds between two attempts at most.
+LONGEST_PAUSE = 8.0
+
+
 @dataclass
 class Attempts:
     """Calls once more after a passing fault, up to ``most`` times, with exponential pauses and jitter.
@@ -126,19 +130,29 @@ class Attempts:
     pause: Callable[[float], None] = time.sleep
     chance: random.Random = field(default_factory=lambda: random.Random(7))
 
+    def pauses(self) -> Iterator[float]:
+        """The seconds to wait before each further attempt: doubling up to a limit, of which half is left to chance."""
+        longest = 1.0
+        for _ in range(self.most - 1):
+            yield longest * self.chance.uniform(0.5, 1.0)
+            longest = min(LONGEST_PAUSE, 2 * longest)
+
     def __call__(self, once: Callable[[], Answer], passing: Callable[[str], bool]) -> tuple[Answer, int, float, float]:
-        began = time.perf_counter()
-        for attempt in range(1, self.most + 1):
-            start = time.perf_counter()
+        times = [time.perf_counter()]
+        waits = self.pauses()
+        attempts = 0
+        while True:
+            times.append(time.perf_counter())
             try:
                 answer = once()
             except Exception as e:  # a service's fault is a result
                 answer = Answer(error=str(e))
-            ms = (time.perf_counter() - start) * 1000
-            if not answer.error or not passing(answer.error) or attempt == self.most:
-                return answer, attempt, ms, (time.perf_counter() - began) * 1000
-            self.pause(min(8.0, 2.0 ** (attempt - 1)) * (0.5 + self.chance.random() / 2))
-        raise AssertionError
+            times.append(time.perf_counter())
+            attempts += 1
+            wait = next(waits, None) if answer.error and passing(answer.error) else None
+            if wait is None:
+                return answer, attempts, (times[-1] - times[-2]) * 1000, (times[-1] - times[0]) * 1000
+            self.pause(wait)
 
 
 class Budget:

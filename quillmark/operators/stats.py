@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.numeric import uniform
+from quillmark.functions.numeric import uniform, uniform_array
 from quillmark.session import durable, fits_broadcast
 
 DRAWS = 2000
@@ -65,15 +69,45 @@ def _draws(rows: DataFrame, draws: int) -> DataFrame:
     return spark.range(0, draws, 1, max(spark.sparkContext.defaultParallelism, draws // 500)).select(F.col("id").alias("draw"))
 
 
+def _resampled(sample: DataFrame, by: list[str], draws: int, seed: int) -> DataFrame | None:
+    """(_g, draw, mean): means of resamples, where the sample is small enough to be sent to every task; else None.
+
+    ``_g`` numbers the groups of ``by``, ordered by it. Draw b takes ``_all`` numbers of the stream; a group's start after
+    ``_before``. A task draws for whole groups at once with arrays, and gives one row a draw and group.
+    """
+    if not fits_broadcast(sample, 64):
+        return None
+    held = sample.select("_g", "_before", "_all", "_i", "_x").toPandas().sort_values(["_g", "_i"])
+    groups = [(int(g), int(d["_before"].iloc[0]), int(d["_all"].iloc[0]), d["_x"].to_numpy()) for g, d in held.groupby("_g")]
+    shared = sample.sparkSession.sparkContext.broadcast(groups)
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            draw = b.column(0).to_numpy()
+            for g, before, every, x in shared.value:
+                means = np.empty(len(draw))
+                step = max(1, (1 << 21) // max(len(x), 1))
+                for at in range(0, len(draw), step):
+                    numbers = draw[at : at + step, None].astype(np.uint64) * np.uint64(every) + np.uint64(before) + np.arange(len(x), dtype=np.uint64)
+                    picked = (uniform_array(numbers, seed) * len(x)).astype(np.int64)
+                    means[at : at + step] = x[picked].mean(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(draw), g, dtype=np.int64)), pa.array(draw), pa.array(means)], names=["_g", "draw", "mean"])
+
+    return _draws(sample, draws).mapInArrow(resample, "_g long, draw long, mean double")
+
+
 def _means(sample: DataFrame, by: list[str], draws: int, seed: int) -> DataFrame:
     """(by, draw, mean): means of resamples. Draw b takes numbers b n to b n + n - 1 of the stream, as one generator would."""
     groups = sample.groupBy(*by).agg(F.max("_n").alias("_n"))
+    numbered = groups.withColumn("_g", F.xxhash64(*by))
+    each = sample.drop("_n").join(numbered, by) if by else sample.drop("_n").crossJoin(numbered)
+    found = _resampled(each.select("_g", F.lit(0).alias("_before"), F.col("_n").alias("_all"), "_i", "_x"), by, draws, seed)
+    if found is not None:
+        return found.join(F.broadcast(numbered.drop("_n")), "_g").drop("_g")
     # The draws are the side that is spread over tasks; groups are few.
     each = _draws(sample, draws).crossJoin(F.broadcast(groups) if fits_broadcast(groups, 64) else groups).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     picked = each.withColumn("_i", F.floor(uniform(F.col("draw") * F.col("_n") + F.col("_k"), seed) * F.col("_n")).cast("int"))
-    small = sample.select(*by, "_i", "_x")
-    small = F.broadcast(small) if fits_broadcast(small, 64) else small
-    return picked.join(small, [*by, "_i"]).groupBy(*by, "draw").agg(F.avg("_x").alias("mean"))
+    return picked.join(sample.select(*by, "_i", "_x"), [*by, "_i"]).groupBy(*by, "draw").agg(F.avg("_x").alias("mean"))
 
 
 def interval_of_mean(rows: DataFrame, by: list[str], order: list[str], value: str, draws: int = DRAWS, seed: int = 7, alpha: float = 0.05) -> DataFrame:
@@ -102,11 +136,13 @@ def stratified_interval(rows: DataFrame, stratum: str, order: list[str], diff: s
     sizes = sample.groupBy(stratum).agg(F.max("_n").alias("_n"))
     one = Window.partitionBy(F.lit(1)).orderBy(stratum)  # a row per stratum
     sizes = sizes.withColumn("_before", F.sum("_n").over(one.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(1))))
+    numbered = sizes.withColumn("_g", F.xxhash64(stratum))
+    found = _resampled(sample.drop("_n").join(numbered, stratum), [stratum], draws, seed)
     each = _draws(rows, draws).crossJoin(F.broadcast(sizes) if fits_broadcast(sizes, 64) else sizes).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     picked = each.withColumn("_i", F.floor(uniform(F.col("draw") * F.col("_all") + F.col("_before") + F.col("_k"), seed) * F.col("_n")).cast("int"))
-    small = sample.select(stratum, "_i", "_x")
-    small = F.broadcast(small) if fits_broadcast(small, 64) else small
-    means = picked.join(small, [stratum, "_i"]).groupBy("draw", stratum).agg(F.avg("_x").alias("m")).groupBy("draw").agg(F.avg("m").alias("m"))
+    if found is None:
+        found = picked.join(sample.select(stratum, "_i", "_x"), [stratum, "_i"]).groupBy("draw", stratum).agg(F.avg("_x").alias("mean"))
+    means = found.groupBy("draw").agg(F.avg("mean").alias("m"))
     at = lambda q: int(q * (draws - 1) + 0.5)
     ends = means.agg(F.sort_array(F.collect_list("m")).alias("_m")).select(F.col("_m")[at(0.025)].alias("low"), F.col("_m")[at(0.975)].alias("high"))
     real = sample.groupBy(stratum).agg(F.avg("_x").alias("m")).agg(F.avg("m").alias("mean"))
