@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.operators.places import range_places
+
 
 def paired(rows: DataFrame, system: str, a: str, value: str, keys: list[str]) -> DataFrame:
     """(system, keys, diff): every other system's value less that of ``a``, over the questions both answered."""
@@ -43,8 +45,8 @@ def near_median(pool: DataFrame, value: str, text: str, key: str, plain: Column)
     low = order_statistics(pool.crossJoin(F.broadcast(n)).withColumn("_k", F.lit(1)), ["_k"], value, {"m": 0.5 - 1e-12}, nearest=True)
     mid = low.select(F.col("value").alias("median"))
     rows = pool.where(plain).crossJoin(F.broadcast(mid)).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    w = Window.orderBy("_d", F.length(text), key)
-    return rows.withColumn("place", F.row_number().over(w)).select(key, value, "median", "place")
+    placed = range_places(rows.withColumn("_l", F.length(text)), [], [F.asc("_d"), F.asc("_l"), F.asc(key)])
+    return placed.select(key, value, "median", F.col("place").cast("int").alias("place"))
 
 
 def judged_status(rows: DataFrame, judged: DataFrame) -> DataFrame:
