@@ -54,51 +54,56 @@ def first_visible(rows: DataFrame, may_read: Column) -> DataFrame:
     return rows.join(F.broadcast(best), F.struct("distance", "id") <= F.col("b")).agg(F.count(F.lit(1)).alias("rank"))
 
 
-def _packed(rows: DataFrame, key: str, vec: str, size: int) -> DataFrame:
-    """Blocks of vectors: keys and one flat array, so that two blocks meet as matrices."""
+def _packed(rows: DataFrame, key: str, vec: str, size: int, apart: str | None = None) -> DataFrame:
+    """Blocks of vectors: keys, groups as hashes, and one flat array, so that two blocks meet as matrices."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, size):
                 part = b.slice(at, size)
                 if part.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).flatten().to_numpy(zero_copy_only=False)], pa.list_(pa.float64()))], names=["keys", "flat"])
+                    lists = [pa.array([part.column(i).to_pylist()], pa.list_(pa.int64())) for i in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*lists, pa.array([part.column(2).flatten().to_numpy(zero_copy_only=False)], pa.list_(pa.float64()))], names=["keys", "apart", "flat"])
 
-    return rows.select(F.col(key).cast("long"), F.col(vec).cast("array<double>")).mapInArrow(pack, "keys array<long>, flat array<double>")
+    group = F.xxhash64(apart) if apart else F.lit(0).cast("long")
+    return rows.select(F.col(key).cast("long"), group, F.col(vec).cast("array<double>")).mapInArrow(pack, "keys array<long>, apart array<long>, flat array<double>")
 
 
-def exact_top_k(queries: DataFrame, rows: DataFrame, key: str, vec: str, k: int, block: int = BLOCK) -> DataFrame:
+def exact_top_k(queries: DataFrame, rows: DataFrame, key: str, vec: str, k: int, block: int = BLOCK, apart: str | None = None) -> DataFrame:
     """(query, key, distance, rank): the k nearest rows of each query by cosine distance, ties by smaller key.
 
     A query set of a stated size meets all rows block by block, as products of matrices; of each block only k rows per query
-    go on. Vectors have one width and no null elements.
+    go on. Vectors have one width and no null elements. With ``apart`` rows that have the query's value of that column are
+    left out before anything is ranked.
     """
-    q = _packed(queries, key, vec, block).toDF("qk", "qv")
-    r = _packed(rows, key, vec, block * 4).toDF("rk", "rv")
+    q = _packed(queries, key, vec, block, apart).toDF("qk", "qg", "qv")
+    r = _packed(rows, key, vec, block * 4, apart).toDF("rk", "rg", "rv")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for qk, qv, rk, rv in zip(*(b.column(i) for i in range(4))):
-                qk, qv, rk, rv = (x.values.to_numpy(zero_copy_only=False) for x in (qk, qv, rk, rv))
+            for cells in zip(*(b.column(i) for i in range(6))):
+                qk, qg, qv, rk, rg, rv = (x.values.to_numpy(zero_copy_only=False) for x in cells)
                 a, c = qv.reshape(len(qk), -1), rv.reshape(len(rk), -1)
                 order = np.argsort(rk, kind="stable")
-                rk, c = rk[order], c[order]
+                rk, rg, c = rk[order], rg[order], c[order]
                 d = 1.0 - (a @ c.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(c, axis=1))
                 d = np.round(d, 9)
+                if apart:
+                    d[qg[:, None] == rg[None, :]] = np.inf
                 most = min(k, len(rk))
                 edge = np.partition(d, most - 1, axis=1)[:, most - 1 : most]
-                qi, ri = np.nonzero(d <= edge)
+                qi, ri = np.nonzero((d <= edge) & (d < np.inf))
                 yield pa.RecordBatch.from_arrays([pa.array(qk[qi]), pa.array(rk[ri]), pa.array(d[qi, ri])], names=["query", "key", "distance"])
 
-    met = r.crossJoin(q).select("qk", "qv", "rk", "rv").mapInArrow(meet, "query long, key long, distance double")
+    met = r.crossJoin(q).select("qk", "qg", "qv", "rk", "rg", "rv").mapInArrow(meet, "query long, key long, distance double")
     w = Window.partitionBy("query").orderBy("distance", "key")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def all_distances(queries: DataFrame, rows: DataFrame, key: str, vec: str, block: int = BLOCK) -> DataFrame:
     """(query, key, distance) of every query and row, for counts over whole tables: it is to be aggregated, not stored."""
-    q = _packed(queries, key, vec, block).toDF("qk", "qv")
-    r = _packed(rows, key, vec, block).toDF("rk", "rv")
+    q = _packed(queries, key, vec, block).drop("apart").toDF("qk", "qv")
+    r = _packed(rows, key, vec, block).drop("apart").toDF("rk", "rv")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -485,3 +485,97 @@ WITH {P}, t AS (SELECT ord, title, CAST(length(title) AS DOUBLE) AS chars FROM p
 m AS (SELECT list_sort(list(chars))[CAST(floor((count(*) - 1) / 2) AS BIGINT) + 1] AS median FROM t)
 SELECT ord, chars, median, CAST(row_number() OVER (ORDER BY abs(chars - median), length(title), ord) AS INTEGER) AS place FROM t, m
 WHERE len(regexp_split_to_array(trim(title), '\s+')) <= 9 AND NOT regexp_matches(title, '[0-9]')"""
+
+# --- Comparing systems, legs and collections ---
+
+CUT = f"""{LEGS},
+cut AS (
+  SELECT system, query, doc, shared FROM (SELECT *, row_number() OVER (PARTITION BY system, query ORDER BY score DESC, doc) AS n FROM leg)
+  WHERE n <= 96 AND (system = 'bm25' OR score >= 0.2)
+),
+asked AS (SELECT DISTINCT system AS run, query FROM cut WHERE system <> 'bm25'),
+parts AS (
+  SELECT run, query, doc, 1.0::DOUBLE / (60 + shared) AS k, 0.0::DOUBLE AS s FROM cut JOIN asked USING (query) WHERE system = 'bm25'
+  UNION ALL SELECT system, query, doc, 0.0, 1.0::DOUBLE / (60 + shared) FROM cut WHERE system <> 'bm25'
+),
+fused AS (SELECT run, weight, query, doc, round(sum(k) * weight + sum(s), 9) AS score FROM parts, (VALUES (1.0::DOUBLE), (0.5::DOUBLE)) w(weight) GROUP BY run, weight, query, doc),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY run, weight, query ORDER BY score DESC, doc) AS INTEGER) AS rank FROM fused QUALIFY rank <= 24)"""
+ORACLE["rrf_cut_legs"] = f"WITH {CUT} SELECT run, query, doc, score, rank FROM placed WHERE weight = 1"
+ORACLE["fusion_half_against_equal"] = f"""
+WITH {CUT}, {measured("w", "placed", "run, weight")},
+d AS (SELECT run, query, max(ndcg) FILTER (WHERE weight = 1) AS e, max(ndcg) FILTER (WHERE weight = 0.5) AS h FROM w GROUP BY ALL)
+SELECT run, count(*) AS questions, {r6("avg(e)")} AS "equal", {r6("avg(h)")} AS half, count(*) FILTER (WHERE round(h - e, 9) > 0) AS better, count(*) FILTER (WHERE round(h - e, 9) < 0) AS worse
+FROM d GROUP BY run"""
+
+
+def placed_by(name: str) -> str:
+    return f"SELECT '{name}' AS variant, query, doc, row_number() OVER (PARTITION BY query ORDER BY {r6('score')} DESC, doc) AS rank FROM {name}_v"
+
+
+ORACLE["keyword_variants"] = f"""
+WITH {P}, {TITLES}, {bm25("text_v", "text")}, {bm25("title_v", "title")},
+best_v AS (SELECT query, doc, max(score) AS score FROM (SELECT * FROM text_v UNION ALL SELECT * FROM title_v) GROUP BY ALL),
+every AS ({placed_by("text")} UNION ALL {placed_by("title")} UNION ALL {placed_by("best")})
+SELECT variant, count(*) FILTER (WHERE rank = 1) AS first, count(*) AS among_ten FROM every WHERE query = doc AND rank <= 10 GROUP BY variant"""
+ORACLE["candidate_bm25"] = rf"""
+WITH {P}, {LISTS},
+c AS (SELECT query, doc, rank, title, regexp_extract_all(lower(left(coalesce(text, ''), 400)), '{WORD}') AS w FROM l JOIN p ON p.ord = l.doc WHERE system = 'bm25' AND rank <= 24),
+terms AS (SELECT DISTINCT query, unnest(regexp_extract_all(lower(coalesce(title, '')), '{WORD}')) AS term FROM c WHERE rank = 1),
+facts AS (SELECT query, count(*) AS docs, avg(len(w)) AS mean_length FROM c GROUP BY query),
+tf AS (SELECT query, doc, length, term, count(*) AS tf FROM (SELECT query, doc, len(w) AS length, unnest(w) AS term FROM c) JOIN terms USING (query, term) GROUP BY ALL),
+df AS (SELECT query, term, count(*) AS df FROM tf GROUP BY ALL),
+s AS (SELECT query, doc, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (0.6 + 0.4 * length / mean_length))) AS score FROM tf JOIN df USING (query, term) JOIN facts USING (query) GROUP BY ALL)
+{best("s", 24)}"""
+ORACLE["positive_hits"] = f"WITH {LISTS} SELECT query, count(*) FILTER (WHERE score > 0) AS positive, count(*) FILTER (WHERE score <= 0) AS dropped FROM l WHERE system = 'bm25' GROUP BY query"
+ORACLE["knn_excluding_own_document"] = f"""
+WITH {P},
+v AS (
+  SELECT DISTINCT vectors.ord, split_part(p.id, '#', 1) AS parent, CAST(vec AS DOUBLE[]) AS v FROM vectors JOIN p ON p.ord = vectors.ord
+  WHERE len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0
+),
+d AS (SELECT a.ord AS query, b.ord AS key, round({COS.format(a="a.v", b="b.v")}, 9) AS distance FROM v a, v b WHERE a.ord % 20 = 0 AND a.parent <> b.parent),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, key) AS rank FROM d)
+SELECT CAST(query AS BIGINT) AS query, CAST(key AS BIGINT) AS key, CAST(rank AS INTEGER) AS rank, {r6("distance")} AS distance FROM placed WHERE rank <= 10"""
+ORACLE["paired_hit_intervals"] = f"""
+SELECT * FROM (
+  WITH {M}, two AS (SELECT m.* FROM m, first_run WHERE system IN (a, z)), {bootstrap("two", "hit1", 2000)},
+  ends AS (SELECT system, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM means GROUP BY system)
+  SELECT system, n, {", ".join(f"{r6(c)} AS {c}" for c in ("mean", "low", "high"))} FROM sizes JOIN ends USING (system)
+)
+UNION ALL SELECT * FROM (
+  WITH {M}, two AS (SELECT y.system, y.query, y.hit1 - x.hit1 AS d FROM m x JOIN m y ON x.query = y.query, first_run WHERE x.system = a AND y.system = z AND a <> z), {bootstrap("two", "d", 2000)},
+  ends AS (SELECT system, list_sort(list(mean)) AS m FROM means GROUP BY system)
+  SELECT 'difference', n, {r6("mean")}, {r6("m[51]")}, {r6("m[1950]")} FROM sizes JOIN ends USING (system)
+)"""
+SCRIPT = f"CASE WHEN length(text) - length(regexp_replace(text, '[{TRADITIONAL}]', '', 'g')) > length(text) - length(regexp_replace(text, '[{SIMPLIFIED}]', '', 'g')) THEN 'traditional' WHEN text IS NOT NULL THEN 'simplified' END"
+ORACLE["recall_by_script"] = f"""
+WITH {P}, {LISTS}, ps AS (SELECT ord AS doc, CASE WHEN split_part(sample, '/', 1) = 'zh' THEN {SCRIPT} ELSE 'other' END AS script FROM p)
+SELECT asked.system, script, count(*) AS relevant, {r6("avg(CASE WHEN f.doc IS NULL THEN 0 ELSE 1 END)")} AS recall24
+FROM (SELECT DISTINCT system, query FROM l) asked JOIN g USING (query) JOIN ps ON ps.doc = g.doc
+LEFT JOIN (SELECT system, query, doc FROM l WHERE rank <= 24) f ON f.system = asked.system AND f.query = asked.query AND f.doc = g.doc GROUP BY ALL"""
+ORACLE["ranker_hits_of_all_questions"] = f"""
+WITH {P}, {RANKS},
+q AS (SELECT ranker, question, avg(CAST(first = 1 AS INTEGER)) AS hit1 FROM fr GROUP BY ALL),
+asked AS (SELECT count(DISTINCT question) AS questions FROM {"c"})
+SELECT ranker, count(*) AS ranked, questions, {r6("sum(hit1) / questions")} AS hit1 FROM q, asked GROUP BY ranker, questions"""
+ORACLE["own_language_transfer"] = f"""
+WITH {SETS},
+lv AS ({ORACLE["calibration_levels_by_language"]}),
+cut AS (SELECT lang, unnest(['strict', 'balanced', 'loose']) AS level, unnest([strict, balanced, loose]) AS cutoff FROM lv WHERE style = 'short'),
+a AS (SELECT run, set_name, level, {r6("avg(CAST(v < cutoff AS INTEGER))")} AS lets FROM rnd JOIN cut ON lang = regexp_replace(set_name, '^[^-]*-', '') GROUP BY ALL),
+b AS (SELECT run, set_name, level, {r6("avg(CAST(v < cutoff AS INTEGER))")} AS keeps FROM rel JOIN cut ON lang = regexp_replace(set_name, '^[^-]*-', '') GROUP BY ALL)
+SELECT run, set_name, level, lets, keeps FROM a LEFT JOIN b USING (run, set_name, level)"""
+ORACLE["random_profile"] = f"WITH {SETS} SELECT run, n, stat, {r6('value')} AS value FROM ({nearest_rank('rnd', 'run', 'v', {'p001': 0.001, 'p01': 0.01, 'p05': 0.05, 'p50': 0.5})})"
+ORACLE["zipped_random_pairs"] = f"""
+WITH ends AS (SELECT min(run) AS a, max(run) AS z FROM setdata),
+x AS (SELECT set_name, probe, question, min(random) AS x FROM setdata, ends WHERE run = a GROUP BY ALL),
+y AS (SELECT set_name, probe, question, min(random) AS y FROM setdata, ends WHERE run = z GROUP BY ALL),
+pairs AS (SELECT set_name, unnest(list_zip(x, y)) AS p FROM x JOIN y USING (set_name, probe, question))
+SELECT set_name, count(*) AS n, {r6("avg(p[1] - p[2])")} AS mean_difference FROM pairs WHERE p[1] BETWEEN 0 AND 2 AND p[2] BETWEEN 0 AND 2 AND NOT isnan(p[1]) AND NOT isnan(p[2]) GROUP BY set_name"""
+ORACLE["style_counts"] = f"WITH {P} SELECT {style('title')} AS style, count(*) AS n FROM p GROUP BY 1"
+ORACLE["past_snippet"] = f"""
+WITH {P}, t AS (SELECT set_name, CAST(length(text) AS DOUBLE) AS v FROM p WHERE text IS NOT NULL),
+s AS (SELECT set_name, {r6("avg(CAST(v > 1200 AS INTEGER))")} AS past FROM t GROUP BY set_name)
+SELECT m.set_name, n, past, value AS median FROM ({nearest_rank("t", "set_name", "v", {"m": 0.5})}) m JOIN s ON s.set_name IS NOT DISTINCT FROM m.set_name"""
+ORACLE["relevant_past_snippet"] = f"""
+WITH {P}, {LISTS} SELECT grade > 0 AS relevant, count(*) AS n, {r6("avg(CAST(length(text) > 1200 AS INTEGER))")} AS past FROM j JOIN p ON p.ord = j.doc GROUP BY 1"""

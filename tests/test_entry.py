@@ -17,7 +17,7 @@ def test_every_sql_has_a_query():
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-@pytest.mark.parametrize("name", ["bm25_topk", "rrf_hybrid_topk", "ranking_metrics", "latest_calls", "noise_floor_levels", "knn_exact_topk"])
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_hybrid_topk", "ranking_metrics", "latest_calls", "noise_floor_levels", "knn_exact_topk", "rrf_cut_legs", "fusion_half_against_equal", "keyword_variants", "candidate_bm25", "positive_hits", "knn_excluding_own_document", "paired_hit_intervals", "recall_by_script", "ranker_hits_of_all_questions", "own_language_transfer", "random_profile", "zipped_random_pairs", "past_snippet", "relevant_past_snippet", "bootstrap_paired_ci", "titles_nearest_median"])
 def test_query_against_sql(spark, name):
     import duckdb
 
