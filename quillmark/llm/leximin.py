@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.scores import score_bin
-from quillmark.session import durable, fits_broadcast
+from quillmark.operators.places import range_places
+from quillmark.session import fits_broadcast
 
 #: Items of a list beyond which its query's lists are worked on by many tasks.
 LONG = 20_000
@@ -83,11 +84,5 @@ def leximin_rank(vectors: DataFrame, top: int | None = None) -> DataFrame:
     if top:
         w = Window.partitionBy("query_id").orderBy(F.desc("weakest"), F.asc("ord"))
         return vectors.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
-    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = vectors.repartitionByRange(tasks, F.asc("query_id"), F.desc("weakest"), F.asc("ord")).withColumn("_task", F.spark_partition_id())
-    spread = durable(spread, "leximin")
-    before = Window.partitionBy("query_id").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = spread.groupBy("query_id", "_task").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("query_id", "_task").orderBy(F.desc("weakest"), F.asc("ord"))
-    placed = spread.withColumn("_row", F.row_number().over(inside)).join(starts, ["query_id", "_task"])
-    return placed.select("query_id", "ord", "weakest", (F.col("_before") + F.col("_row")).cast("int").alias("place"))
+    placed = range_places(vectors, ["query_id"], [F.desc("weakest"), F.asc("ord")])
+    return placed.withColumn("place", F.col("place").cast("int"))
