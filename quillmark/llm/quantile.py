@@ -213,10 +213,11 @@ def wrong_figures(calls: DataFrame, summaries: DataFrame, k: int = K, keep=lambd
     """(machine, ranker, span, since, stat): published figures more than 10 % off the percentile.
 
     Days are sketched, weeks merged from days. A figure that both bounds of its percentile call right or wrong is
-    decided by the sketch; for the others the two order statistics are counted exactly among the rows between the
-    bounds. ``keep`` may store the day sketches, which are used twice.
+    decided by the sketch; for the others the two order statistics are counted exactly, in bins, over the rows of their
+    groups. ``keep`` may store what is used several times: the rows that count, the day sketches, and the figures beside
+    their bounds.
     """
-    rows = latencies(calls)
+    rows = keep(latencies(calls))
     days = keep(sketch(rows, [*WHO, "since"], "ms", k))
     found = quantiles(by_span(days, k), [*WHO, "span", "since"], PROBS)
     figures = summaries.select(*WHO, "span", "since", F.explode(F.map_from_arrays(F.array(F.lit("p50"), F.lit("p95")), F.array("latencyp50", "latencyp95"))).alias("stat", "figure"))
@@ -224,7 +225,7 @@ def wrong_figures(calls: DataFrame, summaries: DataFrame, k: int = K, keep=lambd
     key = [*WHO, "span", "since", "stat"]
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"q.{c}")) for c in key]
     on = same[0] & same[1] & same[2] & same[3] & same[4]
-    both = figures.alias("f").join(found.alias("q"), on).select("f.*", "q.n", "q.low", "q.high")
+    both = keep(figures.alias("f").join(found.alias("q"), on).select("f.*", "q.n", "q.low", "q.high"))
     # |figure - t| <= 0.1 t holds for t from figure / 1.1 to figure / 0.9, so the two bounds settle most figures.
     off = lambda t: F.isnan("figure") | (F.abs(F.col("figure") - t) > TOLERANCE * t)
     sure_wrong = (F.col("figure") > (1 + TOLERANCE) * F.col("high")) | (F.col("figure") < (1 - TOLERANCE) * F.col("low"))
