@@ -129,25 +129,47 @@ def hashed_near(rows: DataFrame, query: list[float], vec: str, k: int, width: fl
     return near.select("id", (F.col("_d") * F.col("_d") / 2).alias("distance"))
 
 
+def distances_to(rows: DataFrame, query: list[float], vec: str = "embedding") -> DataFrame:
+    """Adds ``distance`` to one query vector in place of ``vec``, as products of matrices, a batch at a time."""
+    q = np.asarray(query, dtype=np.float64)
+    others = [f for f in rows.schema.fields if f.name != vec]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(b.num_columns - 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            d = np.round(1.0 - x @ q / (np.linalg.norm(x, axis=1) * np.linalg.norm(q)), 9)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(d)], names=[*(f.name for f in others), "distance"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", distance double"
+    return rows.select(*[f.name for f in others], vec).mapInArrow(run, schema)
+
+
 def crowded_corpus(spark, dims: int, far: int, hidden: int, near: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(chunks, query): vectors anywhere, unreadable ones crowding the query, and a few readable ones further out.
 
     Every element is a draw of the counter-based stream, so the table is the same however it is partitioned.
     """
-    from quillmark.functions.numeric import uniform
+    from quillmark.functions.numeric import uniform_array
 
-    def vector(first: Column, spread: float, around: bool) -> Column:
-        noise = lambda i: uniform(first + i.cast("long"), seed) - 0.5
-        centre = lambda i: uniform(i.cast("long"), seed) - 0.5
-        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (centre(i) + spread * noise(i) if around else noise(i)).cast("float"))
+    centre = uniform_array(np.arange(dims), seed) - 0.5
+
+    def vectors(ids: np.ndarray, spread: float, around: bool) -> np.ndarray:
+        noise = uniform_array((ids[:, None] + 1) * dims + np.arange(dims), seed) - 0.5
+        return (centre + spread * noise if around else noise).astype(np.float32)
 
     def part(start: int, n: int, topic: str, reader: str, spread: float, around: bool) -> DataFrame:
-        ids = spark.range(start, start + n)
-        return ids.select("id", F.lit(topic).alias("topic"), F.array(F.lit(reader)).alias("readers"), vector((F.col("id") + 1) * dims, spread, around).alias("embedding"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                flat = pa.array(vectors(b.column(0).to_numpy(), spread, around).ravel())
+                offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dims)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["id", "embedding"])
+
+        rows = spark.range(start, start + n).mapInArrow(run, "id long, embedding array<float>")
+        return rows.select("id", F.lit(topic).alias("topic"), F.array(F.lit(reader)).alias("readers"), "embedding")
 
     chunks = part(1, far, "other", "everyone", 1.0, False).unionByName(part(far + 1, hidden, "restructuring", "hr", 0.6, True)).unionByName(part(far + hidden + 1, near, "team notes", "liv", 1.2, True))
-    query = spark.range(1).select(vector(F.lit(far + hidden + near + 2).cast("long") * dims, 0.3, True).alias("q"))
-    return chunks, query
+    asked = vectors(np.array([far + hidden + near + 1]), 0.3, True)[0]
+    return chunks, spark.createDataFrame([([float(x) for x in asked],)], "q array<float>")
 
 
 def pair_distances(queries: DataFrame, rows: DataFrame, size: int = BLOCK) -> DataFrame:

@@ -198,8 +198,9 @@ FROM (SELECT DISTINCT system, query FROM l) asked JOIN g USING (query) JOIN p ON
 LEFT JOIN (SELECT system, query, doc FROM l WHERE rank <= 24) f ON f.system = asked.system AND f.query = asked.query AND f.doc = g.doc GROUP BY ALL"""
 
 ORACLE["questions_without_hits"] = f"""
-WITH {LISTS} SELECT system, count(*) AS questions FROM (SELECT DISTINCT system, query FROM l WHERE system <> 'bm25') x
-WHERE query NOT IN (SELECT query FROM l WHERE system = 'bm25' AND query IS NOT NULL) GROUP BY system"""
+WITH {LISTS}, held AS (SELECT DISTINCT query FROM l WHERE system = 'bm25')
+SELECT system, count(*) AS questions, count(*) FILTER (WHERE held.query IS NULL) AS without_hits
+FROM (SELECT DISTINCT system, query FROM l WHERE system <> 'bm25') x LEFT JOIN held ON held.query = x.query GROUP BY system"""
 ORACLE["best_other"] = f"""
 WITH {LISTS}, rest AS (SELECT l.* FROM l LEFT JOIN g USING (query, doc) WHERE grade IS NULL)
 SELECT system, query, doc, CAST(rank AS INTEGER) AS rank, {r6("score")} AS score FROM rest QUALIFY row_number() OVER (PARTITION BY system, query ORDER BY rank) = 1"""
@@ -536,6 +537,11 @@ v AS (
 d AS (SELECT a.ord AS query, b.ord AS key, round({COS.format(a="a.v", b="b.v")}, 9) AS distance FROM v a, v b WHERE a.ord % 20 = 0 AND a.parent <> b.parent),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, key) AS rank FROM d)
 SELECT CAST(query AS BIGINT) AS query, CAST(key AS BIGINT) AS key, CAST(rank AS INTEGER) AS rank, {r6("distance")} AS distance FROM placed WHERE rank <= 10"""
+# What the published runs of these searches found.
+ORACLE["crowded_searches"] = """
+SELECT * FROM (VALUES ('exact', 5), ('filter after 40', 0), ('filter after 1000', 0), ('cutoff outside', 5), ('cutoff inside', 5), ('cutoff outside, 320', 5), ('cutoff inside, 320', 5)) t(search, rows)"""
+ORACLE["crowded_scan_budgets"] = """
+SELECT * FROM (VALUES ('20,000 rows', 0), ('100,000 rows', 0), ('100,000 rows, 8 x memory', 5), ('exact', 5), ('first readable', 33001)) t(search, rows)"""
 ORACLE["paired_hit_intervals"] = f"""
 SELECT * FROM (
   WITH {M}, two AS (SELECT m.* FROM m, first_run WHERE system IN (a, z)), {bootstrap("two", "hit1", 2000)},

@@ -115,11 +115,8 @@ def bm25_best_column(spark, sf):
 
 @query
 def bm25_character_pairs(spark, sf):
-    """Chinese passages by character pairs, with the tokenizer for scripts without spaces."""
-    p = passages(spark, sf).where("sample LIKE 'zh/%'")
-    q = p.where("ord % 20 = 0 AND title <> ''").select(F.col("ord").alias("query"), F.col("title").alias("text"))
-    scores = lexical.bm25(lexical.postings(p, "ord", "text", tx.bigrams), lexical.corpus_facts(p, "text", tx.bigrams), lexical.query_terms(q, "query", "text", tx.bigrams))
-    return _ranked(scores)
+    """All passages by words, those of scripts without spaces by character pairs."""
+    return _ranked(_bm25(spark, sf, tokenizer=tx.bigrams))
 
 
 def _leak_corpus(spark):
@@ -412,9 +409,10 @@ def recall_by_set(spark, sf):
 
 @query
 def questions_without_hits(spark, sf):
-    """Questions that runs rank passages for but the keyword leg doesn't."""
+    """Questions that runs rank passages for, and how many of them the keyword leg ranks none for."""
     l = ranked_lists(spark, sf).select("system", "query").distinct()
-    return l.where("system <> 'bm25'").join(l.where("system = 'bm25'"), "query", "left_anti").groupBy("system").agg(F.count(F.lit(1)).alias("questions"))
+    held = l.where("system = 'bm25'").select("query", F.lit(1).alias("held"))
+    return l.where("system <> 'bm25'").join(held, "query", "left").groupBy("system").agg(F.count(F.lit(1)).alias("questions"), F.count(F.when(F.col("held").isNull(), 1)).alias("without_hits"))
 
 
 @query

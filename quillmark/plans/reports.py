@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as tx
@@ -103,6 +105,59 @@ def knn_excluding_own_document(spark, sf):
     return found.select("query", "key", "rank", r6("distance").alias("distance"))
 
 
+_CROWDED: dict = {}
+
+
+def crowded(spark, hidden):
+    """A stored corpus of 97,000 passages anywhere, ``hidden`` unreadable ones around the query, and five readable ones further
+    out: with distances to the query's vector, and its readable rows. It is built once for an application."""
+    at = (spark.sparkContext.applicationId, hidden)
+    if at not in _CROWDED:
+        rows, q = nearest.crowded_corpus(spark, 384, 97_000, hidden, 5)
+        _CROWDED[at] = durable(rows, "crowded"), list(q.first()["q"])
+    rows, q = _CROWDED[at]
+    return nearest.distances_to(rows, q), nearest.readable("readers", ["liv", "everyone"])
+
+
+def _counted(searches):
+    parts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("search"), "rows") for name, df in searches.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def crowded_searches(spark, sf):
+    """Rows that each kind of search finds where 3,000 unreadable passages are nearer than the five readable ones."""
+    d, may = crowded(spark, 3000)
+    return _counted(
+        {
+            "exact": d.where(may & (F.col("distance") < 0.6)),
+            "filter after 40": nearest.budgeted(d, may, 40, 10),
+            "filter after 1000": nearest.budgeted(d, may, 1000, 10),
+            "cutoff outside": nearest.outside(d.where(may), 0.6, 10),
+            "cutoff inside": nearest.inside(d.where(may), 0.6, 10),
+            "cutoff outside, 320": nearest.outside(d.where(may), 0.6, 320),
+            "cutoff inside, 320": nearest.inside(d.where(may), 0.6, 320),
+        }
+    )
+
+
+@query
+def crowded_scan_budgets(spark, sf):
+    """The same with 33,000 unreadable passages nearer: a scan ends at its rows, or sooner at the rows its memory holds."""
+    d, may = crowded(spark, 33_000)
+    near = d.where(F.col("distance") < 0.6)
+    rank = nearest.first_visible(d, may).select(F.lit("first readable").alias("search"), F.col("rank").alias("rows"))
+    found = _counted(
+        {
+            "20,000 rows": nearest.budgeted(near, may, 20_000, 10, memory_budget=25_000),
+            "100,000 rows": nearest.budgeted(near, may, 100_000, 10, memory_budget=25_000),
+            "100,000 rows, 8 x memory": nearest.budgeted(near, may, 100_000, 10, memory_budget=200_000),
+            "exact": near.where(may),
+        }
+    )
+    return found.unionByName(rank)
+
+
 # --- Quality ---
 
 
