@@ -65,12 +65,18 @@ def leave_one_out(random: DataFrame, relevant: DataFrame, by: list[str], set_: s
     return lets.join(keeps.drop("cutoff"), [*keys, "level"], "left").select(*keys, "level", "cutoff", "keeps", "lets")
 
 
+def levels_of(statistics: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, strict, balanced, loose): levels set from distances of unrelated pairs, of which ``statistics`` has (keys, least,
+    stat, value) for the balanced and the loose level; strict follows the tail."""
+    at = lambda stat: F.max(F.when(F.col("stat") == stat, F.col("value"))).alias(stat)
+    wide = statistics.groupBy(*keys, "least").agg(at("balanced"), at("loose"))
+    return wide.select(*keys, strict_from_tail(F.col("balanced"), F.col("loose"), F.col("least")).alias("strict"), "balanced", "loose")
+
+
 def style_levels(nulls: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, strict, balanced, loose): levels set from distances of unrelated pairs; strict follows the tail."""
+    """The same from rows (keys, value) of unrelated distances."""
     q = order_statistics(nulls, keys, "value", {"balanced": LEVELS["balanced"], "loose": LEVELS["loose"]}, nearest=True)
-    wide = q.groupBy(*keys).agg(F.max(F.when(F.col("stat") == "balanced", F.col("value"))).alias("balanced"), F.max(F.when(F.col("stat") == "loose", F.col("value"))).alias("loose"))
-    least = nulls.groupBy(*keys).agg(F.min("value").alias("_m"))
-    return wide.join(least, keys).select(*keys, strict_from_tail(F.col("balanced"), F.col("loose"), F.col("_m")).alias("strict"), "balanced", "loose")
+    return levels_of(q.join(nulls.groupBy(*keys).agg(F.min("value").alias("least")), keys), keys)
 
 
 def transfer(random: DataFrame, relevant: DataFrame, cutoffs: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -172,37 +172,83 @@ def crowded_corpus(spark, dims: int, far: int, hidden: int, near: int, seed: int
     return chunks, spark.createDataFrame([([float(x) for x in asked],)], "q array<float>")
 
 
-def pair_distances(queries: DataFrame, rows: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(query, key, distance) of every query and row of one ``lang`` but different ``site``: a join on the language, with
-    the site as a residual.
+def _site_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Blocks of one language of rows (lang, key, label, site, vec): keys, labels, sites and one flat array."""
 
-    Queries, a set of a stated size, and rows meet as blocks of one language, as products of matrices.
-    """
-    fields = "lang string, keys array<long>, sites array<string>, flat array<double>"
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs = np.array(b.column(0).to_pylist(), dtype=object)
+            for lang in sorted({x for x in langs if x is not None}):
+                own = b.take(pa.array(np.flatnonzero(langs == lang)))
+                for at in range(0, own.num_rows, size):
+                    p = own.slice(at, size)
+                    lists = [pa.array([p.column(i).to_pylist()], pa.list_(t)) for i, t in ((1, pa.int64()), (2, pa.string()), (3, pa.string()))]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), *lists, pa.array([p.column(4).flatten().to_numpy(zero_copy_only=False)], pa.list_(pa.float64()))], names=["lang", "keys", "labels", "sites", "flat"])
 
-    def pack(most: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                langs = np.array(b.column(0).to_pylist(), dtype=object)
-                for lang in sorted({x for x in langs if x is not None}):
-                    own = b.take(pa.array(np.flatnonzero(langs == lang)))
-                    for at in range(0, own.num_rows, most):
-                        p = own.slice(at, most)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([p.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([p.column(2).to_pylist()], pa.list_(pa.string())), pa.array([p.column(3).flatten().to_numpy(zero_copy_only=False)], pa.list_(pa.float64()))], names=["lang", "keys", "sites", "flat"])
+    picked = rows.select("lang", F.col("key").cast("long"), "label", "site", F.col("vec").cast("array<double>"))
+    return picked.mapInArrow(pack, "lang string, keys array<long>, labels array<string>, sites array<string>, flat array<double>")
 
-        return run
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for qk, qs, qv, rk, rs, rv in zip(*(b.column(i) for i in range(6))):
-                qk, rk = (np.asarray(x.as_py()) for x in (qk, rk))
-                a, c = (x.values.to_numpy(zero_copy_only=False) for x in (qv, rv))
-                a, c = a.reshape(len(qk), -1), c.reshape(len(rk), -1)
-                d = 1.0 - (a @ c.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(c, axis=1))
-                other = np.array(qs.as_py(), dtype=object)[:, None] != np.array(rs.as_py(), dtype=object)[None, :]
-                qi, ri = np.nonzero(other)
-                yield pa.RecordBatch.from_arrays([pa.array(qk[qi]), pa.array(rk[ri]), pa.array(d[qi, ri])], names=["query", "key", "distance"])
+def _met(qs, qv, rs, rv) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, whether the sites differ) of two blocks; missing sites count as one site."""
+    a, c = (x.values.to_numpy(zero_copy_only=False) for x in (qv, rv))
+    a, c = a.reshape(len(qs), -1), c.reshape(len(rs), -1)
+    d = np.round(1.0 - (a @ c.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(c, axis=1)), 12)
+    return d, np.array(qs.as_py(), dtype=object)[:, None] != np.array(rs.as_py(), dtype=object)[None, :]
+
 
-    q = queries.select("lang", F.col("query").cast("long"), "site", F.col("vec").cast("array<double>")).mapInArrow(pack(size), fields).toDF("lang", "qk", "qs", "qv")
-    r = rows.select("lang", F.col("key").cast("long"), "site", F.col("vec").cast("array<double>")).mapInArrow(pack(size * 4), fields).toDF("lang", "rk", "rs", "rv")
-    return q.join(r, "lang").select("qk", "qs", "qv", "rk", "rs", "rv").mapInArrow(meet, "query long, key long, distance double")
+def unrelated_statistics(queries: DataFrame, rows: DataFrame, keys: list[str], probs: dict[str, float], keep: Callable[[DataFrame, str], DataFrame], size: int = BLOCK, bins: int = 4096) -> DataFrame:
+    """(keys, n, least, stat, value): order statistics, by nearest rank, of the distances of queries (lang, label, site, vec) to
+    rows of their language but another site; ``keys`` are ``lang``, ``label`` or both.
+
+    Queries, a set of a stated size, meet rows as products of matrices. No pair is written: a task counts its blocks'
+    distances in ``bins`` over 0 to 2, and in a second round gives only the values of the bins that hold a wanted rank. Blocks
+    are stored, so that both rounds see the same numbers.
+    """
+    q = keep(_site_blocks(queries.withColumn("key", F.lit(0)), size), "asked").toDF("lang", "qk", "ql", "qs", "qv")
+    r = keep(_site_blocks(rows.withColumn("label", F.lit(None).cast("string")), size * 4), "rows").toDF("lang", "rk", "rl", "rs", "rv")
+    met = q.join(r, "lang").select("lang", "ql", "qs", "qv", "rs", "rv")
+    which = lambda d: np.clip((d * (bins / 2)).astype(np.int64), 0, bins - 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, ql, qs, qv, rs, rv in zip(*(b.column(i) for i in range(6))):
+                d, other = _met(qs, qv, rs, rv)
+                labels = np.array(ql.as_py(), dtype=object)
+                for label in sorted(set(labels) - {None}):
+                    mine = labels == label
+                    values = d[mine][other[mine]]
+                    if len(values):
+                        n = np.bincount(which(values), minlength=bins)
+                        at = np.flatnonzero(n)
+                        same = [pa.array([x] * len(at), pa.string()) for x in (lang.as_py(), label)]
+                        yield pa.RecordBatch.from_arrays([*same, pa.array(at), pa.array(n[at]), pa.array(np.full(len(at), values.min()))], names=["lang", "label", "bin", "n", "least"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, ql, qs, qv, rs, rv, want in zip(*(b.column(i) for i in range(7))):
+                d, other = _met(qs, qv, rs, rv)
+                labels = np.array(ql.as_py(), dtype=object)
+                for label in sorted(set(labels) - {None}):
+                    held = [x["bin"] for x in want.as_py() if x["label"] in (None, label)]
+                    mine = labels == label
+                    values = d[mine][other[mine]]
+                    values = values[np.isin(which(values), held)]
+                    distinct, n = np.unique(values, return_counts=True)
+                    same = [pa.array([x] * len(distinct), pa.string()) for x in (lang.as_py(), label)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(which(distinct)), pa.array(distinct), pa.array(n)], names=["lang", "label", "bin", "value", "n"])
+
+    counts = met.mapInArrow(count, "lang string, label string, bin long, n long, least double").groupBy(*keys, "bin").agg(F.sum("n").alias("c"), F.min("least").alias("least"))
+    every = Window.partitionBy(*keys)
+    upto = F.sum("c").over(every.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(every)).withColumn("least", F.min("least").over(every))
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), F.lit(v).alias("q")) for k, v in probs.items()])).alias("s")
+    wanted = counts.select("*", asked).withColumn("rank", F.floor(F.col("s.q") * (F.col("n") - 1) + 0.5)).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c")))
+    wanted = keep(wanted.select(*keys, "bin", "n", "least", F.col("s.stat").alias("stat"), (F.col("rank") - F.col("upto") + F.col("c")).alias("inner")), "wanted")
+    label = F.col("label") if "label" in keys else F.lit(None).cast("string")
+    held = F.collect_set(F.struct(label.alias("label"), "bin")).alias("want")
+    second = met.join(F.broadcast(wanted.groupBy("lang").agg(held)), "lang") if "lang" in keys else met.crossJoin(F.broadcast(wanted.agg(held)))
+    values = second.select("lang", "ql", "qs", "qv", "rs", "rv", "want").mapInArrow(pick, "lang string, label string, bin long, value double, n long").groupBy(*keys, "bin", "value").agg(F.sum("n").alias("c"))
+    values = values.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys, "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    found = wanted.join(values, [*keys, "bin"]).where((F.col("inner") < F.col("upto")) & (F.col("inner") >= F.col("upto") - F.col("c")))
+    return found.select(*keys, "n", "least", "stat", "value")

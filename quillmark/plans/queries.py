@@ -543,23 +543,26 @@ def cutoff_in_force(spark, sf):
     return out.select("run", "level", "aim", "cutoff", r6("lets").alias("lets"), r6("keeps").alias("keeps"), "within")
 
 
-def _unrelated(spark, sf):
+def _levels(spark, sf, keys):
+    """Levels from distances of passages to titles' passages of another site in the same language; ``label`` is the title's
+    style."""
     v = table(spark, sf, "vectors").where(vc.usable(F.col("vec"), 64)).dropDuplicates(["ord"]).select("ord", "vec")
-    p = passages(spark, sf).select("ord", F.substring_index("sample", "/", 1).alias("lang"), "sample", "title").join(v, "ord")
-    q = p.where((F.col("ord") % 20 == 0) & (F.coalesce("title", F.lit("")) != ""))
-    near = nearest.pair_distances(q.select(F.col("ord").alias("query"), "lang", F.col("sample").alias("site"), "vec"), p.select(F.col("ord").alias("key"), "lang", F.col("sample").alias("site"), "vec"))
-    return near.join(q.select(F.col("ord").alias("query"), "lang", tx.query_style(F.col("title")).alias("style")), "query").select("lang", "style", F.col("distance").alias("value"))
+    p = passages(spark, sf).select(F.col("ord").alias("key"), F.substring_index("sample", "/", 1).alias("lang"), F.col("sample").alias("site"), "title").join(v.withColumnRenamed("ord", "key"), "key")
+    q = p.where((F.col("key") % 20 == 0) & (F.coalesce("title", F.lit("")) != "")).withColumn("label", tx.query_style(F.col("title")))
+    probs = {k: calibrate.LEVELS[k] for k in ("balanced", "loose")}
+    found = calibrate.levels_of(nearest.unrelated_statistics(q, p, keys, probs, durable), keys)
+    return found.select(*[F.col(k).alias("style" if k == "label" else k) for k in keys], *[r6(c).alias(c) for c in ("strict", "balanced", "loose")])
 
 
 @query
 def calibration_levels(spark, sf):
-    """Levels by query style, from distances of passages to titles' passages of another site in the same language."""
-    return calibrate.style_levels(_unrelated(spark, sf), ["style"]).select("style", *[r6(c).alias(c) for c in ("strict", "balanced", "loose")])
+    """Levels by query style."""
+    return _levels(spark, sf, ["label"])
 
 
 @query
 def calibration_levels_by_language(spark, sf):
-    return calibrate.style_levels(_unrelated(spark, sf), ["lang", "style"]).select("lang", "style", *[r6(c).alias(c) for c in ("strict", "balanced", "loose")])
+    return _levels(spark, sf, ["lang", "label"])
 
 
 # --- The call log ---

@@ -13,6 +13,7 @@ from quillmark.functions import text
 from quillmark.functions.numeric import uniforms
 from quillmark.operators import calibrate, calls, compare, fusion, lexical, lists, metrics, nearest, rankers, sampling, stats
 from quillmark.plans import queries as plans
+from quillmark.session import durable
 
 
 def lists_of(spark, **named):
@@ -101,9 +102,28 @@ def test_exact_search(spark):
         order = sorted(x, key=lambda o: (round(1 - float(x[q] @ x[o]) / np.linalg.norm(x[q]) / np.linalg.norm(x[o]), 9), o))
         assert [got[(q, r)] for r in range(1, 5)] == order[:4]
     assert nearest.exact_top_k(df.limit(0), df, "id", "v", 4).count() == 0
-    sites = df.select(F.col("id").alias("key"), F.lit("en").alias("lang"), (F.col("id") % 2).cast("string").alias("site"), F.col("v").alias("vec"))
-    pairs = nearest.pair_distances(sites.where("key < 4").withColumnRenamed("key", "query"), sites, 3)
-    assert pairs.count() == 4 * 35 and pairs.where("(query + key) % 2 = 0").count() == 0
+
+
+def test_statistics_of_unrelated_pairs(spark):
+    rng = np.random.default_rng(11)
+    items = [(i, "en" if i % 3 else "de", str(i % 4), "short" if i % 2 else "long", rng.standard_normal(6).tolist()) for i in range(90)] + [(95, None, "1", "short", [1.0] * 6)]
+    df = spark.createDataFrame(items, "key long, lang string, site string, label string, vec array<double>").repartition(3)
+    asked = lambda i: i < 30
+    probs = {"low": 0.05, "mid": 0.5}
+    for keys in (["label"], ["lang", "label"]):
+        want = {}
+        for i, lang, site, label, v in items:
+            for j, other, elsewhere, _, w in items if asked(i) else ():
+                if lang is not None and lang == other and site != elsewhere:
+                    want.setdefault((lang, label) if "lang" in keys else (label,), []).append(1 - np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w))
+        got = {(*(r[k] for k in keys), r.stat): r for r in nearest.unrelated_statistics(df.where("key < 30"), df, keys, probs, durable, size=7, bins=8).collect()}
+        assert len(got) == 2 * len(want)
+        for k, values in want.items():
+            for stat, p in probs.items():
+                r = got[(*k, stat)]
+                assert r.n == len(values) and r.least == pytest.approx(min(values), abs=1e-9)
+                assert r.value == pytest.approx(sorted(values)[int(p * (len(values) - 1) + 0.5)], abs=1e-9)
+    assert nearest.unrelated_statistics(df.limit(0), df, ["label"], probs, durable).count() == 0
 
 
 def test_readable_with_nulls(spark):
